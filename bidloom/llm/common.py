@@ -27,10 +27,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, which Spark's file system removes when the session's JVM ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return path
+    folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(jpath)
+    fs.deleteOnExit(jpath)
+    return f"{folder}/data"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -1,6 +1,12 @@
 """The queries of this subpackage and their DuckDB SQL."""
 
-from bidloom.llm import quality_rules
+from bidloom.llm import quality_rules, warc
 
-QUERIES = {"op5_quality_rules": quality_rules.op5_quality_rules}
-ORACLE = {"op5_quality_rules": quality_rules.ORACLE}
+QUERIES = {
+    "op1_warc": warc.op1_warc,
+    "op5_quality_rules": quality_rules.op5_quality_rules,
+}
+ORACLE = {
+    "op1_warc": warc.ORACLE,
+    "op5_quality_rules": quality_rules.ORACLE,
+}
