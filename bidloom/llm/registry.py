@@ -1,12 +1,14 @@
 """The queries of this subpackage and their DuckDB SQL."""
 
-from bidloom.llm import quality_rules, warc
+from bidloom.llm import mixing, quality_rules, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
+    "op3_mixing": mixing.op3_mixing,
     "op5_quality_rules": quality_rules.op5_quality_rules,
 }
 ORACLE = {
     "op1_warc": warc.ORACLE,
+    "op3_mixing": mixing.oracle(),
     "op5_quality_rules": quality_rules.ORACLE,
 }
