@@ -1,12 +1,13 @@
 """The queries of this subpackage and their DuckDB SQL."""
 
-from bidloom.llm import lang_id, mixing, quality_rules, sentencepiece, warc
+from bidloom.llm import lang_id, mixing, near_dups, quality_rules, sentencepiece, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_sentencepiece": sentencepiece.op2_sentencepiece,
     "op3_mixing": mixing.op3_mixing,
     "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op6_near_dups": near_dups.op6_near_dups,
     "op9_lang_id": lang_id.op9_lang_id,
 }
 ORACLE = {
