@@ -1,6 +1,6 @@
 """The queries of this subpackage and their DuckDB SQL."""
 
-from bidloom.llm import lang_id, mixing, near_dups, quality_rules, sentencepiece, warc
+from bidloom.llm import lang_id, mixing, near_dups, quality_rules, sentencepiece, spotsigs, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -8,10 +8,12 @@ QUERIES = {
     "op3_mixing": mixing.op3_mixing,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_near_dups": near_dups.op6_near_dups,
+    "op7_spotsigs": spotsigs.op7_spotsigs,
     "op9_lang_id": lang_id.op9_lang_id,
 }
 ORACLE = {
     "op1_warc": warc.ORACLE,
     "op3_mixing": mixing.oracle(),
     "op5_quality_rules": quality_rules.ORACLE,
+    "op7_spotsigs": spotsigs.ORACLE,
 }
