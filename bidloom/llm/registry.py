@@ -1,6 +1,6 @@
 """The queries of this subpackage and their DuckDB SQL."""
 
-from bidloom.llm import lang_id, mixing, near_dups, quality_rules, sentencepiece, spotsigs, warc
+from bidloom.llm import lang_id, mixing, near_dups, quality_rules, sentencepiece, spotsigs, substrings, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -9,6 +9,7 @@ QUERIES = {
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_near_dups": near_dups.op6_near_dups,
     "op7_spotsigs": spotsigs.op7_spotsigs,
+    "op8_substrings": substrings.op8_substrings,
     "op9_lang_id": lang_id.op9_lang_id,
 }
 ORACLE = {
