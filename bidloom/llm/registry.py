@@ -1,6 +1,6 @@
 """The queries of this subpackage and their DuckDB SQL."""
 
-from bidloom.llm import lang_id, mixing, near_dups, quality_rules, sentencepiece, spotsigs, substrings, warc
+from bidloom.llm import katz, lang_id, mixing, near_dups, quality_rules, sentencepiece, spotsigs, substrings, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -11,6 +11,7 @@ QUERIES = {
     "op7_spotsigs": spotsigs.op7_spotsigs,
     "op8_substrings": substrings.op8_substrings,
     "op9_lang_id": lang_id.op9_lang_id,
+    "op10_katz": katz.op10_katz,
 }
 ORACLE = {
     "op1_warc": warc.ORACLE,
