@@ -1,11 +1,12 @@
 """The queries of this subpackage and their DuckDB SQL."""
 
-from bidloom.llm import katz, lang_id, mixing, near_dups, quality_rules, sentencepiece, spotsigs, substrings, warc
+from bidloom.llm import katz, lang_id, mixing, near_dups, pii, quality_rules, sentencepiece, spotsigs, substrings, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_sentencepiece": sentencepiece.op2_sentencepiece,
     "op3_mixing": mixing.op3_mixing,
+    "op4_pii": pii.op4_pii,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_near_dups": near_dups.op6_near_dups,
     "op7_spotsigs": spotsigs.op7_spotsigs,
