@@ -103,7 +103,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, pa
     means = sources.select(F.col("source").alias("s"), F.round(F.coalesce(F.try_divide("m", "source_size"), F.lit(0.0)), 6).alias("mean_merit"))
     shares = targets(sources.select("source", "source_size"), weights, most)
     shares = common.stored(shares.join(means, F.col("source").eqNullSafe(F.col("s"))).withColumn("k", F.monotonically_increasing_id()).drop("source"), "shares")
-    docs = docs.join(shares, F.col("source").eqNullSafe(F.col("s"))).drop("s", "source")
+    docs = docs.join(shares, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     docs = common.stored(ranked(docs, seed).withColumn("row", F.monotonically_increasing_id()), "ranked")
     # Documents without words are never worth a pick.
     rest, picked = docs.where("size > 0").select("row", "k", "doc_id", "size", "rank"), None
@@ -115,7 +115,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, pa
         left = left.join(used, "k", "left").select("k", (F.col("left") - F.coalesce("used", F.lit(0))).alias("left"))
         rest = rest.join(found, "row", "left_anti").join(left, "k").where(F.col("size") <= F.col("left") + SLACK).drop("left")
     docs = docs.join(picked.withColumn("once", F.lit(1)), "row", "left")
-    return docs.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("whole") + F.coalesce("once", F.lit(0)))).cast("long").alias("taken"))
+    return docs.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * (F.col("whole") + F.coalesce("once", F.lit(0)))).cast("long").alias("taken"))
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -123,10 +123,23 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", quality_rules.n_words(F.col("text")).alias("size"))
 
 
+def mixed(docs: DataFrame) -> DataFrame:
+    """docs as often as the mix takes them. Rows of one doc_id, source and size are told apart by their order of text."""
+    taken = common.stored(mix(common.stored(sized(docs), "sized")), "mix").where("taken > 0")
+    alike = ["doc_id", "source", "size"]
+    taken = taken.select(*alike, (F.col("taken") / F.col("size")).cast("int").alias("copies"))
+    taken = taken.withColumn("nth", F.row_number().over(Window.partitionBy(*alike).orderBy(F.col("copies").desc())))
+    taken = taken.select(*(F.col(c).alias(f"_{c}") for c in (*alike, "nth", "copies")))
+    nth = F.row_number().over(Window.partitionBy("doc_id", "source", "_words").orderBy("text"))
+    rows = docs.withColumn("_words", quality_rules.n_words(F.col("text"))).withColumn("_row", nth)
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size")) & (F.col("_row") == F.col("_nth"))
+    return rows.join(taken, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to source weights 1, 2, 3, repeating."""
     docs = common.stored(sized(common.read(spark, sf_dir, "documents")), "sized")
-    return mix(docs)
+    return mix(docs).drop("source")
 
 
 def oracle(documents: str = "documents", passes: int = 2) -> str:

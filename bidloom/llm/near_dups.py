@@ -167,9 +167,9 @@ def classes(docs: DataFrame, like: Similarity = Similarity()) -> DataFrame:
 
 
 def kept(docs: DataFrame, like: Similarity = Similarity()) -> DataFrame:
-    """The rows of docs that are one of each group of near-duplicates."""
+    """docs with one document of each group of near-duplicates: rows that share a doc_id are one document, and of its rows that repeat a text one stays."""
     ids = classes(docs, like).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 def op6_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
