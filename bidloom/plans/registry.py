@@ -1,4 +1,6 @@
 """Queries over the driver's tables and the SQL that must give the same rows."""
 
-QUERIES = {}
-ORACLE = {}
+from bidloom.plans import commercial, text
+
+QUERIES = commercial.QUERIES | text.QUERIES
+ORACLE = commercial.ORACLE | text.ORACLE
