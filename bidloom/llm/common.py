@@ -35,11 +35,21 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{folder}/data"
 
 
+#: Spark removes the shuffle files of a query when it ends; what is written needs them no more.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back: its lineage ends there, so lost executors cost no rework."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df written to the shared folder and read back: its lineage ends there, so lost executors cost no rework, and the
+    shuffle files that it took are removed."""
+    spark = df.sparkSession
+    path, before = new_path(spark, name), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def words(text: Column) -> Column:
