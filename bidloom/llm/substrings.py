@@ -8,7 +8,8 @@ exactly the repeated strings. The digits, each of which leaves only groups of tw
 2. the span: all bytes that its suffixes reach over. A span that was seen before is removed whole;
 3. the ``length`` bytes themselves, one row a suffix, only for the first of each of several spans around one anchor.
 
-A group is never gathered: each pass aggregates the least place of every digit and joins it back. Digits are 64-bit
+The last digit has the most rows, so it is taken by ``SLICES`` slices of the anchors, one after another, which bounds the
+disk that its shuffles need. A group is never gathered: each pass aggregates the least place of every digit and joins it back. Digits are 64-bit
 hashes beside the anchor's, 128 bits in all. Texts are read whole, in segments of ``SEGMENT`` bytes that overlap by
 length - 1, so that long ones take no more memory.
 
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from bidloom.llm import common, tokens
 
-LENGTH, GRAM, SEGMENT = 100, 32, 1 << 20
+LENGTH, GRAM, SEGMENT, SLICES = 100, 32, 1 << 20, 6
 BYTE = tokens.mixed(np.arange(1, 257, dtype=np.uint64))
 _INVERSE = np.zeros(0, np.uint64)
 _POWER = np.zeros(0, np.uint64)
@@ -149,7 +150,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     docs = keyed(docs)
     every = docs.mapInArrow(lambda b: spans(b, length), "anchor long, span long, doc long, tie int, lo int, n int")
     # First digit.
-    twice = every.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor")
+    twice = common.stored(every.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor"), "twice")
     every = common.stored(every.join(twice, "anchor", "left_semi"), "anchors")
     # Second digit: the first place of each span; later ones are seen.
     place = F.struct("doc", "tie", "lo")
@@ -159,13 +160,18 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     several = firsts.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor")
     rest = firsts.join(several, "anchor", "left_semi").select("anchor", "first.*")
     rest = rest.groupBy("doc", "tie").agg(F.collect_list(F.struct("anchor", "lo", "n")).alias("open"))
-    todo = seen.join(rest, ["doc", "tie"], "full")
+    todo = common.stored(seen.join(rest, ["doc", "tie"], "full"), "todo")
     texts = common.stored(docs.join(todo, ["doc", "tie"]), "texts")
-    # Third digit.
-    last = texts.where("open IS NOT NULL").mapInArrow(lambda b: suffixes(b, length), "anchor long, digit long, doc long, tie int, start int")
-    place = F.struct("doc", "tie", "start")
-    first = last.groupBy("anchor", "digit").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
-    later = last.join(first, ["anchor", "digit"]).where(place > F.col("first"))
+    # Third digit, by a few slices of the anchors, each one's shuffles gone before the next.
+    place, later = F.struct("doc", "tie", "start"), None
+    for i in range(SLICES):
+        mine = texts.select("doc", "tie", "text", F.filter("open", lambda x, i=i: F.pmod(x["anchor"], F.lit(SLICES)) == i).alias("open")).where(F.size("open") > 0)
+        last = mine.mapInArrow(lambda b: suffixes(b, length), "anchor long, digit long, doc long, tie int, start int")
+        first = last.groupBy("anchor", "digit").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
+        first = common.stored(first, "digits")
+        found = last.join(first, ["anchor", "digit"]).where(place > F.col("first")).select("doc", "tie", "start")
+        found = common.stored(found, "later")
+        later = found if later is None else later.unionByName(found)
     later = later.groupBy("doc", "tie").agg(F.collect_list("start").alias("starts"))
     texts = texts.drop("open").join(later, ["doc", "tie"], "left").where("seen IS NOT NULL OR starts IS NOT NULL")
     return texts.select("text", "seen", "starts", "doc", "tie").mapInArrow(lambda b: cut(b, length), "doc long, tie int, n_removed long, n_spans long, kept_sha256 string, kept binary")
