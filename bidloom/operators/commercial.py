@@ -33,7 +33,9 @@ def allocate_charges(matches: DataFrame, rfq_lines: DataFrame, charges: DataFram
     else:
         value = money2(F.col("unit_price") * F.col("requested_quantity"))
         lines = matches.withColumn("part", value).withColumn("whole", F.sum("part").over(Window.partitionBy("quote_id")).cast(ZERO2))
-    share = money2(F.col("part") * F.col("charges_total") / F.nullif(F.col("whole"), F.lit(0).cast("decimal(18,4)")))
+    # Types that leave the quotient ten digits, so that it is rounded once.
+    product = (F.col("part") * F.col("charges_total")).cast("decimal(28,4)")
+    share = money2(product / F.nullif(F.col("whole").cast("decimal(18,4)"), F.lit(0).cast("decimal(18,4)")))
     return lines.join(totals, "quote_id", "left").select("quote_id", "line_index", F.coalesce(share, F.lit(0).cast(ZERO2)).alias("allocated"))
 
 
