@@ -56,12 +56,28 @@ def test_words_and_shingles():
 def test_every_pair_within_the_distance_shares_a_key():
     rng = np.random.default_rng(0)
     for like in (Similarity(3, 85), Similarity(5, 80)):
-        a = rng.integers(0, 1 << 16, (200, near_dups.HASHES)).astype(np.uint16)
+        a = rng.integers(0, 1 << near_dups.BITS, (200, near_dups.HASHES)).astype(np.uint16)
         b = a.copy()
         for row in b:
             row[rng.choice(near_dups.HASHES, like.distance, replace=False)] ^= 1
         for x, y in zip(a, b, strict=True):
             assert any((x[list(k)] == y[list(k)]).all() for k in like.keys)
+        assert (near_dups.positions(near_dups.planes(a)) == a).all()
+
+
+def test_first_shared_key(spark):
+    rng = np.random.default_rng(1)
+    like = Similarity(3, 85)
+    a = rng.integers(0, 1 << near_dups.BITS, (200, near_dups.HASHES)).astype(np.uint16)
+    b = a.copy()
+    for row in b:
+        row[rng.choice(near_dups.HASHES, rng.integers(0, like.distance + 1), replace=False)] ^= 5
+    rows = [(x, y) for x, y in zip(near_dups.planes(a).tolist(), near_dups.planes(b).tolist(), strict=True)]
+    mask = near_dups.differing("a", "b")
+    got = spark.createDataFrame(rows, "a array<long>, b array<long>").select(near_dups.first_key(mask, like), near_dups.apart("a", "b")).collect()
+    for (key, apart), x, y in zip(got, a, b, strict=True):
+        same = [i for i, k in enumerate(like.keys) if (x[list(k)] == y[list(k)]).all()]
+        assert apart == (x != y).sum() and key == same[0]
 
 
 def test_components(spark):
