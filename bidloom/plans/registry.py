@@ -1,6 +1,6 @@
 """Queries over the driver's tables and the SQL that must give the same rows."""
 
-from bidloom.plans import commercial, procurement, text
+from bidloom.plans import commercial, documents, procurement, text
 
-QUERIES = commercial.QUERIES | text.QUERIES | procurement.QUERIES
-ORACLE = commercial.ORACLE | text.ORACLE | procurement.ORACLE
+QUERIES = commercial.QUERIES | text.QUERIES | procurement.QUERIES | documents.QUERIES
+ORACLE = commercial.ORACLE | text.ORACLE | procurement.ORACLE | documents.ORACLE

@@ -1 +1 @@
-
+"""Change logs as streams."""
