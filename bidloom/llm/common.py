@@ -52,6 +52,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(df: DataFrame) -> None:
+    """Removes the files of a DataFrame that ``stored`` gave and that is needed no more."""
+    spark = df.sparkSession
+    for folder in {path.rpartition("/")[0] for path in df.inputFiles()}:
+        jpath = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; none for a null text."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")

@@ -5,14 +5,15 @@ probabilities of all words and of the unknown word add up to 1; P(w) is d(c) c(w
 P(unknown). Counts up to ``MOST_DISCOUNTED`` are discounted by Good and Turing's estimate. Where a history would keep no
 mass, its denominator is one more.
 
-Single words are counted and looked up without limit. Pairs are kept of words that make up ``MIN_SHARE`` of the training
-tokens or more (the start of a text counts as one), whatever the pair's own count; a pair with a rarer word backs off.
-There are at most 1 / MIN_SHARE such words at any size of corpus, which bounds what each task holds: their hashes,
-counts and alphas.
+Words and pairs of all words are counted and looked up without limit; the start of a text is a history like a word. The
+order is 2, so that backing off is one step. What makes up ``CACHED_SHARE`` of the training tokens or more is held by
+each task as well: at most 1 / CACHED_SHARE words with their counts and alphas, and as many pairs, at any size of corpus.
+That is a cache only and changes no score. Joins by word broadcast these words and deal the others out.
 
-All tables are Spark tables keyed by 64-bit hashes or pairs of numbers. To score, a task scores what it holds by itself
-and sends the rest (rarer words, pairs) as packed batches, each key once a batch with the texts that it is in, to the
-partition that holds the key; the parts' sums come back by batch. So no group grows with a word's frequency.
+All tables are Spark tables keyed by 64-bit hashes, pairs counted by both words' hashes and looked up by a hash of the
+two. To score, a task scores what it holds by itself and sends the rest (rarer words, rarer pairs) as packed batches, each
+key once a batch with the texts that it is in and how often, to the partition that holds the key; the parts' sums come back by batch. A
+rarer word's part adds its alpha too, as each word but the end is the history of the next.
 
 Edge cases: a null or blank text has one token, its end; texts are read whole; repeated rows count and are scored each
 on their own; without training texts all words are unknown, with probability 1; a null doc_id trains; other columns are
@@ -22,6 +23,7 @@ ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +32,12 @@ from pyspark.sql import functions as F
 
 from bidloom.llm import common, tokens
 
-MIN_SHARE, MOST_DISCOUNTED = 1e-5, 5
-END = np.uint64(0x5851F42D4C957F2D)
-SHIFT = 21
-#: Characters of texts that make up a batch; distinct keys that a counting task holds before it passes them on.
+CACHED_SHARE, MOST_DISCOUNTED = 1e-5, 5
+END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
+#: Characters of texts that make up a batch; distinct keys that a counting task holds before it passes them on; shares in
+#: which pairs are joined.
 BATCH, HELD = 1 << 23, 1 << 20
+ROUNDS = 4
 
 
 def sequences(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -44,6 +47,27 @@ def sequences(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, n
         yield low, high, np.insert(words, at[1:], END), np.repeat(np.arange(high - low), np.diff(at) + 1)
 
 
+def histories(words: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """The token before each one, or the start of its text."""
+    return np.where(np.diff(owner, prepend=-1) != 0, START, np.roll(words, 1))
+
+
+def turned(x: np.ndarray, bits: int) -> np.ndarray:
+    return (x << np.uint64(bits)) | (x >> np.uint64(64 - bits))
+
+
+def pair_keys(history: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """What Spark's xxhash64(h, w) gives."""
+    a, b, c, d, e = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    out = np.full(len(word), 42, np.uint64)
+    for x in (history, word):
+        out = turned((out + e + np.uint64(8)) ^ (turned(x * b, 31) * a), 27) * a + d
+        out = (out ^ (out >> np.uint64(33))) * b
+        out = (out ^ (out >> np.uint64(29))) * c
+        out ^= out >> np.uint64(32)
+    return out.view(np.int64)
+
+
 class Frequent:
     """The frequent words: sorted hashes and their counts. Number 0 is any other word, the last one the text's start."""
 
@@ -58,45 +82,46 @@ class Frequent:
         at = np.minimum(np.searchsorted(self.hashes, words), len(self.hashes) - 1)
         return np.where(self.hashes[at] == words, at + 1, 0)
 
-    def pairs(self, words: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def numbered(self, words: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each token's number and its history's."""
         word = self.numbers(words)
-        history = np.concatenate(([0], word[:-1]))
-        history[np.diff(owner, prepend=-1) != 0] = self.start
-        return word, history
+        return word, np.where(np.diff(owner, prepend=-1) != 0, self.start, np.roll(word, 1))
 
 
-def tallied(found: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, n) of a task's keys, added up as long as no more than HELD are at hand."""
+def tallied(found: Iterator[tuple[np.ndarray, ...]], names: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """Rows (*names, n) of a task's keys, added up as long as no more than HELD are at hand. found: arrays of keys and,
+    where a key stands for several columns, of these."""
     held, size = [], 0
 
-    def merged() -> tuple[np.ndarray, np.ndarray]:
-        keys = np.concatenate([k for k, _ in held])
-        key, place = np.unique(keys, return_inverse=True)
-        n = np.bincount(place, np.concatenate([n for _, n in held]), len(key)).astype(np.int64)
-        return key, n
+    def merged(parts: list) -> tuple[list[np.ndarray], np.ndarray]:
+        columns = [np.concatenate(c) for c in zip(*(c for c, _ in parts), strict=True)]
+        _, first, place = np.unique(columns[0], return_index=True, return_inverse=True)
+        n = np.bincount(place, np.concatenate([n for _, n in parts]), len(first)).astype(np.int64)
+        return [c[first] for c in columns], n
 
-    for keys in found:
-        held.append(np.unique(keys, return_counts=True))
-        size += len(held[-1][0])
+    def rows(columns: list[np.ndarray], n: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch({k: pa.array(c) for k, c in zip((*names, "n"), (*columns[-len(names) :], n), strict=True)})
+
+    for columns in found:
+        held.append(merged([(columns, np.ones(len(columns[0])))]))
+        size += len(held[-1][1])
         if size > 2 * HELD:
-            key, n = merged()
-            held, size = [(key, n)], len(key)
+            held = [merged(held)]
+            size = len(held[0][1])
             if size > HELD:
-                yield pa.record_batch({"key": pa.array(key), "n": pa.array(n)})
+                yield rows(*held[0])
                 held, size = [], 0
     if held:
-        key, n = merged()
-        yield pa.record_batch({"key": pa.array(key), "n": pa.array(n)})
+        yield rows(*merged(held))
 
 
-def counted(texts: DataFrame, keys) -> DataFrame:
-    """Rows (key, n) over all texts; keys: tokens and their owners to an array of 64-bit keys."""
+def counted(texts: DataFrame, keys, names: tuple[str, ...] = ("key",)) -> DataFrame:
+    """Rows (*names, n) over all texts; keys: tokens and their owners to the arrays that ``tallied`` takes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return tallied(keys(w, o) for b in batches for _, _, w, o in sequences(b.column("text").to_pylist()))
+        return tallied((keys(w, o) for b in batches for _, _, w, o in sequences(b.column("text").to_pylist())), names)
 
-    return texts.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return texts.select("text").mapInArrow(run, ", ".join(f"{c} long" for c in (*names, "n"))).groupBy(*names).agg(F.sum("n").alias("n"))
 
 
 class Discount:
@@ -125,25 +150,34 @@ def seen_times(table: DataFrame) -> dict[int, int]:
     return {r.n: r.times for r in rows}
 
 
+def joined(rows: DataFrame, table: DataFrame, on: str) -> DataFrame:
+    """rows with the columns of table (on, often, ...). Many rows may have a word that is often seen: these are broadcast."""
+    often, rest = (table.where(x).drop("often") for x in ("often", "NOT often"))
+    held = rows.join(F.broadcast(often), on)
+    return held.unionByName(rows.join(F.broadcast(often.select(on)), on, "left_anti").join(rest.hint("shuffle_hash"), on))
+
+
 class Model:
-    """The tables ``words`` (key, n) and ``pairs`` (key, gain) and what tasks hold of the frequent words.
+    """The tables ``words`` (key, n, often, log_alpha) and ``pairs`` (key, gain, often), and what tasks hold of them.
 
-    gain: log10 of P(w | h) against alpha(h) P(w).
+    gain: log10 of P(w | h) against alpha(h) P(w). often: whether tasks hold the row. With min_share, only pairs of
+    words that make up so much of the training tokens count; others back off.
     """
 
-    def __init__(self, texts: DataFrame, min_share: float = MIN_SHARE):
-        self.words = common.stored(counted(texts, lambda w, o: w.view(np.int64)), "words")
-        total = self.words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    def __init__(self, texts: DataFrame, min_share: float = 0.0):
+        words = common.stored(counted(texts, lambda w, o: (w.view(np.int64),)), "words")
+        total = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
         self.tokens, self.distinct = int(total[0]), int(total[1])
-        self.discount = Discount(seen_times(self.words))
-        lost = sum((1 - self.discount.factors[r]) * r * t for r, t in seen_times(self.words).items() if r <= MOST_DISCOUNTED)
+        self.discount = Discount(seen_times(words))
+        lost = sum((1 - self.discount.factors[r]) * r * t for r, t in seen_times(words).items() if r <= MOST_DISCOUNTED)
         # Without any mass for unknown words, the denominator is one more.
         self.whole = self.tokens if lost > 0 else self.tokens + 1
         self.unknown = 1 - (self.tokens - lost) / self.whole if self.tokens else 1.0
-        # 1 / min_share rows at most.
-        often = self.words.where(F.col("n") >= min_share * self.tokens).toPandas()
-        self.frequent = Frequent(often["key"].to_numpy(np.int64).view(np.uint64), often["n"].to_numpy(np.int64))
-        self._fit_pairs(texts)
+        words = words.withColumn("often", F.col("n") >= CACHED_SHARE * self.tokens)
+        # 1 / CACHED_SHARE rows at most.
+        often = words.where("often").toArrow()
+        self.frequent = Frequent(often.column("key").to_numpy().view(np.uint64), often.column("n").to_numpy())
+        self._fit_pairs(texts, words, min_share)
 
     def chance(self, c: np.ndarray) -> np.ndarray:
         """P(w) of words seen c times."""
@@ -152,36 +186,40 @@ class Model:
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 0.5) / (self.tokens + 0.5 * (self.distinct + 1)))
 
-    def _fit_pairs(self, texts: DataFrame) -> None:
-        spark, frequent = texts.sparkSession, self.frequent
+    def _fit_pairs(self, texts: DataFrame, words: DataFrame, min_share: float) -> None:
+        wanted = np.sort(words.where(F.col("n") >= min_share * self.tokens).select("key").toArrow().column("key").to_numpy().view(np.uint64)) if min_share > 0 else None
 
-        def keys(words: np.ndarray, owner: np.ndarray) -> np.ndarray:
-            word, history = frequent.pairs(words, owner)
-            both = (word > 0) & (history > 0)
-            return (history[both] << SHIFT) | word[both]
+        def keys(word: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, ...]:
+            history = histories(word, owner)
+            if wanted is not None:
+                both = np.isin(word, wanted) & (np.isin(history, wanted) | (history == START))
+                history, word = history[both], word[both]
+            return pair_keys(history, word), history.view(np.int64), word.view(np.int64)
 
-        counts = common.stored(counted(texts, keys), "pairs")
+        counts = common.stored(counted(texts, keys, ("h", "w")), "pairs")
         discount = Discount(seen_times(counts))
-        n_texts = self.frequent.counts[self.frequent.hashes == END]
-        n_texts = int(n_texts[0]) if len(n_texts) else int(self.words.where(F.col("key") == int(END.view(np.int64))).select("n").first()[0]) if self.tokens else 0
-        # Number 0, the frequent words, the start of a text.
-        times = np.concatenate(([0], frequent.counts, [n_texts])).astype(np.float64)
-        lower = np.concatenate(([0], self.chance(frequent.counts), [0]))
-        numbers = spark.createDataFrame(pa.table({"number": np.arange(len(times)), "times": times, "lower": lower}))
-        split = counts.select("key", F.shiftright("key", SHIFT).alias("h"), F.col("key").bitwiseAND((1 << SHIFT) - 1).alias("w"), discount.column(F.col("n")).alias("kept"))
-        split = split.join(F.broadcast(numbers.select(F.col("number").alias("w"), "lower")), "w").join(F.broadcast(numbers.select(F.col("number").alias("h"), "times")), "h")
-        sums = split.groupBy("h").agg(F.sum("kept").alias("kept"), F.sum("lower").alias("lower"), F.max("times").alias("times"))
-        # One row a frequent word.
-        sums = sums.toPandas().set_index("h")
-        self.alpha, self.whole_by = np.ones(len(times)), times.copy()
-        at = sums.index.to_numpy(np.int64)
-        kept, below, c = (sums[x].to_numpy(np.float64) for x in ("kept", "lower", "times"))
-        c = np.where(c - kept > 1e-9, c, c + 1)
-        self.alpha[at] = (1 - kept / c) / np.maximum(1 - below, 1e-12)
-        self.whole_by[at] = c
-        held = spark.createDataFrame(pa.table({"number": np.arange(len(times)), "whole": self.whole_by, "alpha": self.alpha}))
-        gains = split.join(F.broadcast(held.withColumnRenamed("number", "h")), "h")
-        self.pairs = gains.select("key", F.log10(F.col("kept") / F.col("whole") / (F.col("alpha") * F.col("lower"))).alias("gain"))
+        lower = words.select(F.col("key").alias("w"), "often", (self.discount.column(F.col("n")) / float(max(self.whole, 1))).alias("lower"))
+        # A share of the histories at a time: the shuffle files of each are removed before the next.
+        shares = [joined(counts.where(F.pmod("h", F.lit(ROUNDS)) == i), lower, "w").withColumn("kept", discount.column(F.col("n"))) for i in range(ROUNDS)]
+        # A text ends as often as it starts.
+        starts = words.where(F.col("key") == int(END.view(np.int64))).select(F.lit(int(START.view(np.int64))).alias("h"), F.lit(True).alias("often"), F.col("n").alias("times"))
+        times = words.select(F.col("key").alias("h"), "often", F.col("n").alias("times")).unionByName(starts)
+        sums = reduce(DataFrame.union, [common.stored(x.groupBy("h").agg(F.sum("kept").alias("known"), F.sum("lower").alias("below")), "sums") for x in shares])
+        sums = sums.join(times, "h").withColumn("whole", F.when(F.col("times") - F.col("known") > 1e-9, F.col("times")).otherwise(F.col("times") + 1).cast("double"))
+        alpha = (1 - F.col("known") / F.col("whole")) / F.greatest(1 - F.col("below"), F.lit(1e-12))
+        past = common.stored(sums.select("h", "often", "whole", alpha.alias("alpha")), "histories")
+        gain = F.log10(F.col("kept") / F.col("whole") / (F.col("alpha") * F.col("lower")))
+        often = F.col("n") >= CACHED_SHARE * self.tokens
+        self.pairs = reduce(DataFrame.union, [common.stored(joined(x, past, "h").select(F.xxhash64("h", "w").alias("key"), gain.alias("gain"), often.alias("often")), "gains") for x in shares])
+        common.removed(counts)
+        self.words = words.join(past.select(F.col("h").alias("key"), F.log10("alpha").alias("log_alpha")), "key", "left").withColumn("log_alpha", F.coalesce("log_alpha", F.lit(0.0)))
+        # 1 / CACHED_SHARE rows of each at most.
+        held = past.where("often").select("h", "alpha").toArrow()
+        self.alpha = np.ones(len(self.frequent.counts) + 2)
+        at, h = self.frequent.numbers(held.column("h").to_numpy().view(np.uint64)), held.column("h").to_numpy().view(np.uint64)
+        self.alpha[np.where(h == START, self.frequent.start, at)] = held.column("alpha").to_numpy()
+        held = self.pairs.where("often").select("key", "gain").sort("key").toArrow()
+        self.held_pairs = held.column("key").to_numpy(), held.column("gain").to_numpy()
 
 
 def part_of(key: np.ndarray, parts: int) -> np.ndarray:
@@ -192,23 +230,31 @@ def part_column(parts: int) -> Column:
     return (F.pmod(F.col("key"), F.lit(2147483647).cast("long")) * 48271 % 2147483647 % parts).cast("int")
 
 
-PACKED = "part int, kind int, batch long, size int, keys binary, ends binary, owners binary, ids array<long>, flags array<boolean>, n array<long>, known array<long>, base array<double>, score array<double>"
+PACKED = "part int, kind int, batch long, size int, keys binary, texts binary, owners binary, times binary, ids array<long>, flags array<boolean>, n array<long>, known array<long>, base array<double>, score array<double>"
 SUMS = "batch long, ids array<long>, flags array<boolean>, n array<long>, known array<long>, base array<double>, score array<double>"
 LISTS = {"ids": pa.list_(pa.int64()), "flags": pa.list_(pa.bool_()), "n": pa.list_(pa.int64()), "known": pa.list_(pa.int64()), "base": pa.list_(pa.float64()), "score": pa.list_(pa.float64())}
-ARROW = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("batch", pa.int64()), ("size", pa.int32()), ("keys", pa.binary()), ("ends", pa.binary()), ("owners", pa.binary()), *LISTS.items()])
+ARROW = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("batch", pa.int64()), ("size", pa.int32()), ("keys", pa.binary()), ("texts", pa.binary()), ("owners", pa.binary()), ("times", pa.binary()), *LISTS.items()])
+
+
+def owner_type(size: int) -> type:
+    return np.uint16 if size <= 1 << 16 else np.int32
 
 
 def packed(kind: int, batch: int, size: int, keys: np.ndarray, owners: np.ndarray, parts: int) -> list[dict]:
-    """A row for each part: its keys, each once and sorted, and the texts of each (with repeats)."""
+    """A row for each part: its keys, each once and sorted, the number of texts of each, these texts, and how often each
+    has the key. owners ascend. The keys' bytes are laid out by place, as the first ones compress well."""
     order = np.lexsort((keys, part_of(keys, parts)))
-    keys, owners = keys[order], owners[order].astype(np.int32)
+    keys, owners = keys[order], owners[order]
+    first = np.flatnonzero((np.diff(keys, prepend=keys[:1] + 1) != 0) | (np.diff(owners, prepend=-1) != 0))
+    times = np.diff(first, append=len(keys)).astype(np.int32)
+    keys, owners = keys[first], owners[first].astype(owner_type(size))
     part = part_of(keys, parts)
     rows = []
     cuts = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(part)])) if len(part) else [0]
     for a, b in zip(cuts, cuts[1:], strict=False):
-        own, first = np.unique(keys[a:b], return_index=True)
-        ends = np.append(first[1:], b - a).astype(np.int32)
-        rows.append({"part": int(part[a]), "kind": kind, "batch": batch, "size": size, "keys": own.tobytes(), "ends": ends.tobytes(), "owners": owners[a:b].tobytes()})
+        own, texts = np.unique(keys[a:b], return_counts=True)
+        planes = own.view(np.uint8).reshape(-1, 8).T
+        rows.append({"part": int(part[a]), "kind": kind, "batch": batch, "size": size, "keys": planes.tobytes(), "texts": texts.astype(np.int32).tobytes(), "owners": owners[a:b].tobytes(), "times": times[a:b].tobytes()})
     return rows
 
 
@@ -221,6 +267,7 @@ def sent(batches: Iterator[pa.RecordBatch], model: dict, parts: int) -> Iterator
 
     number = TaskContext.get().partitionId() << 32
     frequent, log_lower, log_alpha, base = model["frequent"], model["log_lower"], model["log_alpha"], model["base"]
+    held_keys, gains = model["pairs"]
     for record in batches:
         ids, texts, flags = (record.column(c).to_pylist() for c in ("doc_id", "text", "held_out"))
         pieces = list(tokens.groups(texts, BATCH))
@@ -230,13 +277,18 @@ def sent(batches: Iterator[pa.RecordBatch], model: dict, parts: int) -> Iterator
             words, pairs = [], []
             for a, _, token, owner in sequences(texts[low:high]):
                 owner = owner + a
-                word, history = frequent.pairs(token, owner)
+                word, history = frequent.numbered(token, owner)
                 held = word > 0
                 for c, x in (("n", None), ("known", held), ("base", base[word]), ("score", log_lower[word] + log_alpha[history])):
                     sums[c] += np.bincount(owner, x, size)
                 words.append((token[~held].view(np.int64), owner[~held]))
-                both = held & (history > 0)
-                pairs.append(((history[both] << SHIFT) | word[both], owner[both]))
+                pair = pair_keys(histories(token, owner), token)
+                if len(held_keys):
+                    at = np.minimum(np.searchsorted(held_keys, pair), len(held_keys) - 1)
+                    held = held_keys[at] == pair
+                    sums["score"] += np.bincount(owner[held], gains[at[held]], size)
+                    pair, owner = pair[~held], owner[~held]
+                pairs.append((pair, owner))
             number += 1
             rows = [{"part": int(number % parts), "kind": LOCAL, "batch": number, "size": size, "ids": ids[low:high], "flags": flags[low:high]} | {c: sums[c].astype(np.int64) if c in ("n", "known") else sums[c] for c in sums}]
             for kind, found in ((WORD, words), (PAIR, pairs)):
@@ -246,29 +298,30 @@ def sent(batches: Iterator[pa.RecordBatch], model: dict, parts: int) -> Iterator
 
 
 def looked_up(rows: pa.Table, table: pa.Table, model: dict) -> pa.Table:
-    """One part: the sums over its rows' keys, by batch and text. table: its rows (kind, key, value)."""
+    """One part: the sums over its rows' keys, by batch and text. table: its rows (kind, key, value, log_alpha)."""
     kinds, out = table.column("kind").to_numpy(), []
     tables = {}
     for kind in (WORD, PAIR):
         mine = np.flatnonzero(kinds == kind)
-        keys, values = table.column("key").to_numpy()[mine], table.column("value").to_numpy()[mine]
+        keys, values, alphas = (table.column(c).to_numpy()[mine] for c in ("key", "value", "log_alpha"))
         order = np.argsort(keys)
-        tables[kind] = keys[order], values[order]
+        tables[kind] = keys[order], values[order], alphas[order]
     for row in rows.to_pylist():
         if row["kind"] == LOCAL:
             out.append({c: row[c] for c in ("batch", *LISTS)})
             continue
-        asked, ends, owners = (np.frombuffer(row[c], t) for c, t in (("keys", np.int64), ("ends", np.int32), ("owners", np.int32)))
-        keys, values = tables[row["kind"]]
+        n_texts, owners, times = (np.frombuffer(row[c], t) for c, t in (("texts", np.int32), ("owners", owner_type(row["size"])), ("times", np.int32)))
+        asked = np.ascontiguousarray(np.frombuffer(row["keys"], np.uint8).reshape(8, -1).T).view(np.int64)[:, 0]
+        keys, *columns = tables[row["kind"]]
         at = np.minimum(np.searchsorted(keys, asked), max(len(keys) - 1, 0))
-        value = np.where(keys[at] == asked, values[at], 0.0) if len(keys) else np.zeros(len(asked))
-        each = np.repeat(value, np.diff(ends, prepend=0))
+        found = (np.where(keys[at] == asked, x[at], 0.0) if len(keys) else np.zeros(len(asked)) for x in columns)
+        each, log_alpha = (np.repeat(x, n_texts) for x in found)
         sums = {"batch": row["batch"]}
         if row["kind"] == WORD:
             c = each.astype(np.int64)
-            sums |= {"known": np.bincount(owners, c > 0, row["size"]).astype(np.int64), "base": np.bincount(owners, model["base_of"](c), row["size"]), "score": np.bincount(owners, np.log10(model["chance_of"](c)), row["size"])}
+            sums |= {"known": np.bincount(owners, times * (c > 0), row["size"]).astype(np.int64), "base": np.bincount(owners, times * model["base_of"](c), row["size"]), "score": np.bincount(owners, times * (np.log10(model["chance_of"](c)) + log_alpha), row["size"])}
         else:
-            sums["score"] = np.bincount(owners, each, row["size"])
+            sums["score"] = np.bincount(owners, times * each, row["size"])
         out.append(sums)
     return pa.Table.from_pylist(out, pa.schema([("batch", pa.int64()), *LISTS.items()]))
 
@@ -292,16 +345,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     frequent = model.frequent
     # For words that a task does not hold the local sums are 0; their parts add them.
     c = np.concatenate(([0], frequent.counts, [0]))
-    light = {"frequent": frequent, "log_alpha": np.log10(model.alpha), "log_lower": np.log10(model.chance(c)), "base": model.base(c)}
+    light = {"frequent": frequent, "log_alpha": np.log10(model.alpha), "log_lower": np.log10(model.chance(c)), "base": model.base(c), "pairs": model.held_pairs}
     light["log_lower"][[0, -1]] = light["base"][[0, -1]] = 0
     tokens_, distinct, whole, unknown, discount = model.tokens, model.distinct, model.whole, model.unknown, model.discount
     rules = {
         "base_of": lambda c: np.log10((c + 0.5) / (tokens_ + 0.5 * (distinct + 1))),
         "chance_of": lambda c: np.where(c > 0, discount.kept(c) / max(whole, 1), unknown),
     }
-    known = model.words.select("key", F.lit(WORD).alias("kind"), F.col("n").cast("double").alias("value"))
-    known = known.unionByName(model.pairs.select("key", F.lit(PAIR).alias("kind"), F.col("gain").alias("value")))
-    known = known.withColumn("part", part_column(parts)).select("part", "kind", "key", "value")
+    known = model.words.where("NOT often").select("key", F.lit(WORD).alias("kind"), F.col("n").cast("double").alias("value"), "log_alpha")
+    known = known.unionByName(model.pairs.where("NOT often").select("key", F.lit(PAIR).alias("kind"), F.col("gain").alias("value"), F.lit(0.0).alias("log_alpha")))
+    known = known.withColumn("part", part_column(parts)).select("part", "kind", "key", "value", "log_alpha")
     asked = docs.select("doc_id", "text", "held_out").mapInArrow(lambda b: sent(b, light, parts), PACKED)
     found = asked.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(lambda a, b: looked_up(a, b, rules), SUMS)
     return found.groupBy("batch").applyInArrow(summed, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")

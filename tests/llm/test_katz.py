@@ -85,3 +85,26 @@ def test_rows(spark):
     empty = katz.Model(docs.limit(0))
     assert {r.score for r in katz.score(docs, empty).collect()} == {0.0}
     assert katz.score(docs.limit(0), empty).count() == 0
+
+
+def test_pairs_of_rare_words(spark, monkeypatch):
+    """Pairs count however rare their words are, and what tasks hold changes no score."""
+    rows = [(d, f"the r{d // 4} s{d // 4} the of x{d % 7} y{d % 5}" + " z" * d) for d in range(40)] + [(None, "the of " * 50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = katz.Model(docs)
+    assert model.pairs.count() == len({p for _, t in rows for p in zip(["<s>", *words(t)[:-1]], words(t), strict=True)})
+    for share in (0.05, 2.0):
+        monkeypatch.setattr(katz, "CACHED_SHARE", share)
+        compare(rows, spark, 0.0)
+    # Words of 2e-6 of the tokens each, seen together in training.
+    rare = spark.createDataFrame([(0, "alpha beta"), (5, "common " * 500_000)], "doc_id long, text string").withColumn("held_out", katz.F.lit(False))
+    monkeypatch.setattr(katz, "CACHED_SHARE", 1e-5)
+    found = {r.doc_id: r.score for r in katz.score(rare, katz.Model(rare)).collect()}
+    brute = Brute([r.text for r in rare.collect()], 0.0)
+    assert found[0] == pytest.approx(brute.score("alpha beta"), rel=1e-9)
+
+
+def test_pair_keys(spark):
+    h, w = (katz.np.array(x, katz.np.uint64) for x in ([1, 2**63 + 5, 0], [7, 2**64 - 1, 0]))
+    rows = spark.createDataFrame([(int(a), int(b)) for a, b in zip(h.view(katz.np.int64), w.view(katz.np.int64), strict=True)], "h long, w long")
+    assert [r[0] for r in rows.select(katz.F.xxhash64("h", "w")).collect()] == katz.pair_keys(h, w).tolist()
