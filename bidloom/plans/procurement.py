@@ -129,6 +129,15 @@ def top_candidates(t):
     return matching.top_candidates(matching.composite(name_pairs(t), "quoted", "known").select("quoted", "known", "score"), ["quoted"], "known")
 
 
+def line_candidates(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return matching.line_candidates(matching.exact_match(t.quote_lines, t.item_master), t.item_master)
+
+
+# Without SQL: a table of common subsequences for each pair is too much for it. tests/test_line_candidates.py has a plain version.
+QUERIES["line_candidates"] = line_candidates
+
+
 @query("award_bids", "SELECT * FROM {o_bids}")
 def award_bids(t):
     return bids(t)
