@@ -3,7 +3,7 @@
 Base spans are what four patterns match and their checks accept. The field adds mentions that no pattern takes: its
 nodes are a text's base spans, whose labels are fixed, and the other stretches that hold a digit or an at sign; edges
 join neighbours in the text, and skip edges join distant nodes that repeat each other (the same last seven digits, the
-same token whatever its case, or the part of an address before its at sign). Loopy belief propagation spreads labels
+same four parts of a shorter IP, the same token whatever its case, or the part of an address before its at sign). Loopy belief propagation spreads labels
 over a text's whole graph. A node becomes a span if it is linked by skip edges to a base span and its label is not
 "other" with a belief of ``BELIEF`` or more, so a text without base spans is left alone.
 
@@ -45,6 +45,8 @@ HINT = re.compile(r"[0-9@]")
 NUMBER = re.compile(r"\(?[0-9](?:[\x20().-]{0,2}[0-9])*")
 TOKEN = re.compile(r"[^\s,;:!?\"'<>()\[\]]+(?:[(\[](?:at|AT|@)[)\]][^\s,;:!?\"'<>()\[\]]+)?")
 TAIL = re.compile(r"[0-9]{3}[\x20.-]?[0-9]{4}$")
+#: A short IP, or its repeat with hyphens.
+QUAD = re.compile(r"[0-9]+(?:\.[0-9]+){3}|[0-9]+(?:-[0-9]+){3}")
 AT = re.compile(r"@|[(\[](?:at|AT|@)[)\]]")
 
 
@@ -108,6 +110,8 @@ def keys(mention: str) -> list[str]:
     """What a mention shares with those that repeat it."""
     number, folded = digits(mention), mention.casefold().strip(".")
     found = [f"d{number[-7:]}"] if len(number) >= 7 else []
+    if not found and QUAD.fullmatch(mention):
+        found.append("q" + mention.replace("-", "."))
     if any(c.isalpha() for c in folded):
         name = AT.split(folded, maxsplit=1)[0]
         found += [f"t{x}" for x in {folded, name} if len(x) >= 5 and (x != name or any(not c.isalpha() for c in x))]

@@ -95,3 +95,12 @@ def test_documents(spark):
         r, want = got[d.doc_id], pii.listed(brute(d.text))
         assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
         assert set(filter(None, want.split(","))) <= set(r.spans.split(","))
+
+
+def test_short_ips(field):
+    for ip in ("10.0.0.1", "127.0.0.1", "8.8.8.8"):
+        text = f"host {ip} is down, see {ip.replace('.', '-')} again, not 1-0-0-7"
+        base = pii.base_spans(text)
+        _, skip = pii.edges(text, pii.nodes(text, base))
+        assert len(base) == 1 and len(skip) == 1
+        assert [text[a:b] for a, _, b in field.spans(text, base)] == [ip, ip.replace(".", "-")]
