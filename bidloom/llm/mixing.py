@@ -9,7 +9,7 @@ mean share, so that expected words still equal the rest.
 
 The words below the cut are found without sorting a source in one task: ranks fall into ``CELLS`` cells by value, cells
 are summed, and only the cell that the cut lies in is split again, twice; the documents of the last cell alone are
-ordered. A second pass over what is left fills the gap that the first document over the cut leaves.
+ordered. Sources with nothing left are left out. Rows of one doc_id (or of none) have one rank, so they share a cell. A second pass over what is left fills the gap that the first document over the cut leaves.
 
 Edge cases: null or blank texts have no words and are taken no times; a null source is a source, last in order; rows
 that repeat a doc_id are documents of their own (the same rank, decided by order of size, then alike); an empty table
@@ -81,6 +81,8 @@ def ranked(docs: DataFrame, seed: str = SEED) -> DataFrame:
 def prefixes(docs: DataFrame, budgets: DataFrame) -> DataFrame:
     """The rows of docs (row, k, doc_id, size, rank) that make up, in each source k, the longest prefix by rank, doc_id
     and size whose sizes add up to budgets (k, left) at most."""
+    # Where nothing is left nothing is taken, and all ranks may be one: such a source would be ordered whole.
+    budgets = budgets.where(F.col("left") > SLACK)
     at, cuts = docs, budgets.withColumn("cut", F.lit(0).cast("long"))
     for level in range(1, LEVELS + 1):
         inside = F.floor(F.col("rank") * float(CELLS ** (level - 1))).cast("long") == F.col("cut")

@@ -87,3 +87,10 @@ def test_near_pairs(spark):
     assert len(cls) == len(sets) and cls[201] == 200 and cls[202] == 202
     want = {(a, b) for a in set(cls.values()) for b in set(cls.values()) if a < b and sets[a] and sets[b] and len(set(sets[a]) & set(sets[b])) / len(set(sets[a]) | set(sets[b])) >= 0.8}
     assert {(r.a, r.b) for r in pairs.collect()} == want and want
+
+
+def test_sources_without_rest(spark):
+    """A source whose budget is used up takes no part, so its equal ranks are not ordered in one window."""
+    rows = spark.createDataFrame([(1, 0, 7, 0, 0.5), (2, 1, 8, 5, 0.5), (3, 1, 9, 5, 0.7)], "row long, k long, doc_id long, size long, rank double")
+    budgets = spark.createDataFrame([(0, 0.0), (1, 5.0)], "k long, left double")
+    assert [r.row for r in mixing.prefixes(rows, budgets).collect()] == [2]
