@@ -6,12 +6,13 @@ exactly the repeated strings. The digits, each of which leaves only groups of tw
 1. the anchor: the ``GRAM`` bytes with the least hash within the suffix's first ``length`` bytes (the leftmost of
    equals), which equal strings share at one place; consecutive suffixes with one anchor make one row, a span;
 2. the span: all bytes that its suffixes reach over. A span that was seen before is removed whole;
-3. the ``length`` bytes themselves, one row a suffix, only for the first of each of several spans around one anchor.
+3. the core: the first of each of several spans around one anchor falls into blocks of suffixes whose distances to the
+   anchor agree but for the last three bits; equal suffixes have equal bytes in all that the suffixes of a block share;
+4. the ``length`` bytes themselves, one row a suffix of a block whose core another one has.
 
-The last digit has the most rows, so it is taken by ``SLICES`` slices of the anchors, one after another, which bounds the
-disk that its shuffles need. A group is never gathered: each pass aggregates the least place of every digit and joins it back. Digits are 64-bit
-hashes beside the anchor's, 128 bits in all. Texts are read whole, in segments of ``SEGMENT`` bytes that overlap by
-length - 1, so that long ones take no more memory.
+A group is never gathered: each pass aggregates the least place of every digit and joins it back. Digits are 64-bit
+hashes beside the anchor's, 128 bits in all (the core, which only decides what the last digit looks at, has 64). Texts
+are read whole, in segments of ``SEGMENT`` bytes that overlap by length - 1, so that long ones take no more memory.
 
 Edge cases: a null text is empty; a text shorter than ``length`` keeps all its bytes; places are ordered by doc_id
 (null last), then a hash of the text, then the start; rows that repeat both doc_id and text are one document, and each
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from bidloom.llm import common, tokens
 
-LENGTH, GRAM, SEGMENT, SLICES = 100, 32, 1 << 20, 6
+LENGTH, GRAM, SEGMENT, BLOCK = 100, 32, 1 << 20, 8
 BYTE = tokens.mixed(np.arange(1, 257, dtype=np.uint64))
 _INVERSE = np.zeros(0, np.uint64)
 _POWER = np.zeros(0, np.uint64)
@@ -77,7 +78,7 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def spans(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Rows (anchor, span, doc, tie, lo, n): the n suffixes from byte lo on that share an anchor."""
+    """Rows (anchor, span, doc, tie, lo, n, d): the n suffixes from byte lo on that share an anchor, which is d bytes after lo."""
     for batch in batches:
         texts = [(t or "").encode("utf-8", "replace") for t in batch.column("text").to_pylist()]
         docs, ties = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "tie"))
@@ -99,30 +100,79 @@ def spans(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
                 "anchor": pa.array(gram[anchor[lo]].view(np.int64)),
                 "span": pa.array(tokens.mixed(roll.hashes(lo, lo + n - 1 + length) + n.astype(np.uint64)).view(np.int64)),
                 "doc": pa.array(docs[rows[owner]]), "tie": pa.array(ties[rows[owner]]),
-                "lo": pa.array((lo - begins[owner] + froms[owner]).astype(np.int32)), "n": pa.array(n.astype(np.int32)),
+                "lo": pa.array((lo - begins[owner] + froms[owner]).astype(np.int32)), "n": pa.array(n.astype(np.int32)), "d": pa.array((anchor[lo] - lo).astype(np.int32)),
             })
 
 
-def suffixes(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Rows (anchor, digit, doc, tie, start) for each suffix of the spans listed in ``open``."""
+def stretches(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[int, int, Rolled, int, dict[str, np.ndarray]]]:
+    """For runs of the rows listed in ``open``, in order of lo: the document, its tie, the hashes of the bytes that they
+    reach over, the first of these bytes, and the rows' columns."""
     for batch in batches:
-        found = []
-        for text, doc, tie, rest in zip(*(batch.column(c).to_pylist() for c in ("text", "doc", "tie", "open")), strict=True):
-            data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
-            for span in rest or ():
-                lo, n = span["lo"], span["n"]
-                at = np.arange(n)
-                digit = Rolled(data[lo : lo + n - 1 + length]).hashes(at, at + length)
-                found.append((np.full(n, span["anchor"]), digit.view(np.int64), np.full(n, doc), np.full(n, tie, np.int32), (lo + at).astype(np.int32)))
-                if len(found) >= 20_000:
-                    yield _rows(found)
-                    found = []
-        if found:
-            yield _rows(found)
+        texts, docs, ties, lists = (batch.column(c) for c in ("text", "doc", "tie", "open"))
+        ends = lists.offsets.to_numpy()
+        fields = {f.name: lists.values.field(i).to_numpy(zero_copy_only=False) for i, f in enumerate(lists.type.value_type)}
+        for row in range(batch.num_rows):
+            data = np.frombuffer(texts[row].as_py().encode("utf-8", "replace"), np.uint8)
+            mine = {c: x[ends[row] : ends[row + 1]] for c, x in fields.items()}
+            order = np.argsort(mine["lo"], kind="stable")
+            mine = {c: x[order] for c, x in mine.items()}
+            at = 0
+            while at < len(order):
+                low = int(mine["lo"][at])
+                to = max(at + 1, int(np.searchsorted(mine["lo"], low + SEGMENT)))
+                part = {c: x[at:to] for c, x in mine.items()}
+                high = int((part["lo"].astype(np.int64) + part["n"]).max()) - 1 + length
+                yield docs[row].as_py(), ties[row].as_py(), Rolled(data[low:high]), low, part
+                at = to
+
+
+def gathered(found: Iterator[dict[str, np.ndarray]], rows: int = 1 << 17) -> Iterator[pa.RecordBatch]:
+    """Small groups of rows as larger record batches."""
+    held, size = [], 0
+    for part in found:
+        held.append(part)
+        size += len(part["doc"])
+        if size >= rows:
+            yield pa.record_batch({c: pa.array(np.concatenate([x[c] for x in held])) for c in part})
+            held, size = [], 0
+    if held:
+        yield pa.record_batch({c: pa.array(np.concatenate([x[c] for x in held])) for c in held[0]})
+
+
+def blocks(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Rows (core, anchor, doc, tie, lo, n): the blocks of the spans listed in ``open``, and the hash of what each shares."""
+
+    def rows():
+        for doc, tie, roll, low, part in stretches(batches, length):
+            lo, n, far = (part[c].astype(np.int64) for c in ("lo", "n", "d"))
+            least, most = (far - n + 1) // BLOCK, far // BLOCK
+            times = most - least + 1
+            span = np.repeat(np.arange(len(lo)), times)
+            block = least[span] + np.arange(len(span)) - np.repeat(np.cumsum(times) - times, times)
+            anchor, place = part["anchor"][span], lo[span] + far[span] - low
+            core = place - BLOCK * block
+            digit = tokens.mixed(roll.hashes(core, core - BLOCK + 1 + length) + anchor.view(np.uint64) * np.uint64(tokens.BASE) + block.astype(np.uint64))
+            first = np.minimum(BLOCK * block + BLOCK - 1, far[span])
+            last = np.maximum(BLOCK * block, (far - n + 1)[span])
+            yield {
+                "core": digit.view(np.int64), "anchor": anchor, "doc": np.full(len(span), doc, np.int64), "tie": np.full(len(span), tie, np.int32),
+                "lo": (place - first + low).astype(np.int32), "n": (first - last + 1).astype(np.int32),
+            }
+
+    yield from gathered(rows())
+
+
+def suffixes(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Rows (anchor, digit, doc, tie, start) for each suffix of the blocks listed in ``open``."""
 
+    def rows():
+        for doc, tie, roll, low, part in stretches(batches, length):
+            n = part["n"].astype(np.int64)
+            start = np.repeat(part["lo"].astype(np.int64) - low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            digit = roll.hashes(start, start + length).view(np.int64)
+            yield {"anchor": np.repeat(part["anchor"], n), "digit": digit, "doc": np.full(len(start), doc, np.int64), "tie": np.full(len(start), tie, np.int32), "start": (start + low).astype(np.int32)}
 
-def _rows(found: list) -> pa.RecordBatch:
-    return pa.record_batch({c: pa.array(np.concatenate(x)) for c, x in zip(("anchor", "digit", "doc", "tie", "start"), zip(*found, strict=True), strict=True)})
+    yield from gathered(rows())
 
 
 def cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -148,31 +198,38 @@ def cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBat
 def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Of docs (doc_id, text), rows (doc, tie, n_removed, n_spans, kept_sha256, kept) for the texts that lose bytes."""
     docs = keyed(docs)
-    every = docs.mapInArrow(lambda b: spans(b, length), "anchor long, span long, doc long, tie int, lo int, n int")
+    every = docs.mapInArrow(lambda b: spans(b, length), "anchor long, span long, doc long, tie int, lo int, n int, d int")
     # First digit.
     twice = common.stored(every.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor"), "twice")
     every = common.stored(every.join(twice, "anchor", "left_semi"), "anchors")
     # Second digit: the first place of each span; later ones are seen.
     place = F.struct("doc", "tie", "lo")
-    firsts = common.stored(every.groupBy("anchor", "span").agg(F.min(F.struct("doc", "tie", "lo", "n")).alias("first")), "spans")
+    firsts = common.stored(every.groupBy("anchor", "span").agg(F.min(F.struct("doc", "tie", "lo", "n", "d")).alias("first")), "spans")
     seen = every.join(firsts, ["anchor", "span"]).where(place > F.struct("first.doc", "first.tie", "first.lo"))
     seen = seen.groupBy("doc", "tie").agg(F.collect_list(F.struct("lo", "n")).alias("seen"))
-    several = firsts.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor")
+    # Stored, so that Spark can split the join at an anchor of very many spans.
+    several = common.stored(firsts.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor"), "several")
     rest = firsts.join(several, "anchor", "left_semi").select("anchor", "first.*")
-    rest = rest.groupBy("doc", "tie").agg(F.collect_list(F.struct("anchor", "lo", "n")).alias("open"))
+    rest = rest.groupBy("doc", "tie").agg(F.collect_list(F.struct("anchor", "lo", "n", "d")).alias("open"))
     todo = common.stored(seen.join(rest, ["doc", "tie"], "full"), "todo")
+    common.removed(twice), common.removed(every), common.removed(firsts)
     texts = common.stored(docs.join(todo, ["doc", "tie"]), "texts")
-    # Third digit, by a few slices of the anchors, each one's shuffles gone before the next.
-    place, later = F.struct("doc", "tie", "start"), None
-    for i in range(SLICES):
-        mine = texts.select("doc", "tie", "text", F.filter("open", lambda x, i=i: F.pmod(x["anchor"], F.lit(SLICES)) == i).alias("open")).where(F.size("open") > 0)
-        last = mine.mapInArrow(lambda b: suffixes(b, length), "anchor long, digit long, doc long, tie int, start int")
-        first = last.groupBy("anchor", "digit").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
-        first = common.stored(first, "digits")
-        found = last.join(first, ["anchor", "digit"]).where(place > F.col("first")).select("doc", "tie", "start")
-        found = common.stored(found, "later")
-        later = found if later is None else later.unionByName(found)
-    later = later.groupBy("doc", "tie").agg(F.collect_list("start").alias("starts"))
+    common.removed(todo)
+    # Third digit.
+    cores = texts.where("open IS NOT NULL").select("doc", "tie", "text", "open").mapInArrow(lambda b: blocks(b, length), "core long, anchor long, doc long, tie int, lo int, n int")
+    cores = common.stored(cores, "cores")
+    shared = cores.groupBy("core").agg(F.count("*").alias("times")).where("times > 1").select("core")
+    rest = cores.join(common.stored(shared, "shared"), "core", "left_semi").groupBy("doc", "tie").agg(F.collect_list(F.struct("anchor", "lo", "n")).alias("open"))
+    rest = common.stored(rest, "open")
+    common.removed(cores)
+    # Fourth digit.
+    place = F.struct("doc", "tie", "start")
+    last = texts.select("doc", "tie", "text").join(rest, ["doc", "tie"]).mapInArrow(lambda b: suffixes(b, length), "anchor long, digit long, doc long, tie int, start int")
+    last = common.stored(last, "suffixes")
+    first = common.stored(last.groupBy("anchor", "digit").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times"), "digits")
+    later = last.join(first, ["anchor", "digit"]).where(place > F.col("first")).groupBy("doc", "tie").agg(F.collect_list("start").alias("starts"))
+    later = common.stored(later, "later")
+    common.removed(last), common.removed(first)
     texts = texts.drop("open").join(later, ["doc", "tie"], "left").where("seen IS NOT NULL OR starts IS NOT NULL")
     return texts.select("text", "seen", "starts", "doc", "tie").mapInArrow(lambda b: cut(b, length), "doc long, tie int, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
