@@ -5,19 +5,19 @@ probabilities of all words and of the unknown word add up to 1; P(w) is d(c) c(w
 P(unknown). Counts up to ``MOST_DISCOUNTED`` are discounted by Good and Turing's estimate. Where a history would keep no
 mass, its denominator is one more.
 
-Words and pairs of all words are counted and looked up without limit; the start of a text is a history like a word. The
-order is 2, so that backing off is one step. What makes up ``CACHED_SHARE`` of the training tokens or more is held by
-each task as well: at most 1 / CACHED_SHARE words with their counts and alphas, and as many pairs, at any size of corpus.
-That is a cache only and changes no score. Joins by word broadcast these words and deal the others out.
+Words and pairs of all words count, without limit; the start of a text is a history like a word. The order is 2, so that
+backing off is one step.
 
-All tables are Spark tables keyed by 64-bit hashes, pairs counted by both words' hashes and looked up by a hash of the
-two. To score, a task scores what it holds by itself and sends the rest (rarer words, rarer pairs) as packed batches, each
-key once a batch with the texts that it is in and how often, to the partition that holds the key; the parts' sums come back by batch. A
-rarer word's part adds its alpha too, as each word but the end is the history of the next.
+Texts become batches of about ``BATCH`` characters, stored once as numbers of the batch's own words. A batch asks for the
+counts of its words, then of its pairs, then for its histories' backoff weights, and each time sends every key once,
+whatever the key's frequency, with what the batch adds to it. Keys are 64-bit hashes, dealt out by themselves: a part adds
+up its share of the table and answers each batch in the order it asked. So no part grows with how often a word or pair
+occurs, only with the number of batches that have it, and parts grow in number with the corpus (``KEYS`` keys or so each).
+A pair counts for its history's mass once, in the batch that the pair's part names its owner.
 
 Edge cases: a null or blank text has one token, its end; texts are read whole; repeated rows count and are scored each
 on their own; without training texts all words are unknown, with probability 1; a null doc_id trains; other columns are
-ignored.
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,12 +32,10 @@ from pyspark.sql import functions as F
 
 from bidloom.llm import common, tokens
 
-CACHED_SHARE, MOST_DISCOUNTED = 1e-5, 5
+MOST_DISCOUNTED = 5
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
-#: Characters of texts that make up a batch; distinct keys that a counting task holds before it passes them on; shares in
-#: which pairs are joined.
-BATCH, HELD = 1 << 23, 1 << 20
-ROUNDS = 4
+#: Characters of texts that make up a batch; keys that a part gets on average.
+BATCH, KEYS = 1 << 24, 1 << 21
 
 
 def sequences(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -47,317 +45,262 @@ def sequences(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, n
         yield low, high, np.insert(words, at[1:], END), np.repeat(np.arange(high - low), np.diff(at) + 1)
 
 
-def histories(words: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """The token before each one, or the start of its text."""
-    return np.where(np.diff(owner, prepend=-1) != 0, START, np.roll(words, 1))
+class Discount:
+    """Good-Turing discounts from the numbers of keys seen 1, 2, ... times; half a count where the estimate fails."""
 
+    def __init__(self, times: dict[int, int], k: int = MOST_DISCOUNTED):
+        n = [times.get(r, 0) for r in range(k + 2)]
+        self.factors = np.ones(k + 1)
+        tail = (k + 1) * n[k + 1] / n[1] if n[1] else 1.0
+        for r in range(1, k + 1):
+            d = ((r + 1) * n[r + 1] / (r * n[r]) - tail) / (1 - tail) if n[r] and tail < 1 else 0.0
+            self.factors[r] = d if 0 < d < 1 else 1 - 0.5 / r
 
-def turned(x: np.ndarray, bits: int) -> np.ndarray:
-    return (x << np.uint64(bits)) | (x >> np.uint64(64 - bits))
+    def kept(self, c: np.ndarray) -> np.ndarray:
+        return c * np.where(c < len(self.factors), self.factors[np.minimum(c, len(self.factors) - 1)], 1.0)
 
 
-def pair_keys(history: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """What Spark's xxhash64(h, w) gives."""
-    a, b, c, d, e = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-    out = np.full(len(word), 42, np.uint64)
-    for x in (history, word):
-        out = turned((out + e + np.uint64(8)) ^ (turned(x * b, 31) * a), 27) * a + d
-        out = (out ^ (out >> np.uint64(33))) * b
-        out = (out ^ (out >> np.uint64(29))) * c
-        out ^= out >> np.uint64(32)
-    return out.view(np.int64)
+class Words:
+    """Probabilities of single words, from the totals of their table."""
 
+    def __init__(self, totals: list[int]):
+        self.tokens, self.distinct = totals[:2]
+        times = dict(enumerate(totals[2:], 1))
+        self.discount = Discount(times)
+        lost = sum((1 - self.discount.factors[r]) * r * times.get(r, 0) for r in range(1, MOST_DISCOUNTED + 1))
+        # Without any mass for unknown words, the denominator is one more.
+        self.whole = self.tokens if lost > 0 else self.tokens + 1
+        self.unknown = 1 - (self.tokens - lost) / self.whole if self.tokens else 1.0
 
-class Frequent:
-    """The frequent words: sorted hashes and their counts. Number 0 is any other word, the last one the text's start."""
+    def chance(self, c: np.ndarray) -> np.ndarray:
+        """P(w) of words seen c times."""
+        return np.where(c > 0, self.discount.kept(c) / max(self.whole, 1), self.unknown)
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
-        order = np.argsort(hashes)
-        self.hashes, self.counts = hashes[order], counts[order]
-        self.start = len(hashes) + 1
+    def base(self, c: np.ndarray) -> np.ndarray:
+        return np.log10((c + 0.5) / (self.tokens + 0.5 * (self.distinct + 1)))
 
-    def numbers(self, words: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.zeros(len(words), np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, words), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == words, at + 1, 0)
 
-    def numbered(self, words: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each token's number and its history's."""
-        word = self.numbers(words)
-        return word, np.where(np.diff(owner, prepend=-1) != 0, self.start, np.roll(word, 1))
+def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    return ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
 
 
-def tallied(found: Iterator[tuple[np.ndarray, ...]], names: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
-    """Rows (*names, n) of a task's keys, added up as long as no more than HELD are at hand. found: arrays of keys and,
-    where a key stands for several columns, of these."""
-    held, size = [], 0
+def dealt(keys: np.ndarray, parts: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order of keys by part, and each part with its range of that order."""
+    part = part_of(keys, parts).astype(np.uint16 if parts <= 1 << 16 else np.uint32)
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    cuts = np.concatenate((np.flatnonzero(np.diff(part, prepend=part[:1] + 1)), [len(part)])) if len(part) else [0]
+    return order, [(int(part[a]), int(a), int(b)) for a, b in zip(cuts, cuts[1:], strict=False)]
 
-    def merged(parts: list) -> tuple[list[np.ndarray], np.ndarray]:
-        columns = [np.concatenate(c) for c in zip(*(c for c, _ in parts), strict=True)]
-        _, first, place = np.unique(columns[0], return_index=True, return_inverse=True)
-        n = np.bincount(place, np.concatenate([n for _, n in parts]), len(first)).astype(np.int64)
-        return [c[first] for c in columns], n
 
-    def rows(columns: list[np.ndarray], n: np.ndarray) -> pa.RecordBatch:
-        return pa.record_batch({k: pa.array(c) for k, c in zip((*names, "n"), (*columns[-len(names) :], n), strict=True)})
+BATCHES = "batch long, ids array<long>, flags array<boolean>, lengths binary, words binary, train binary, tokens binary, n_words long, n_tokens long"
 
-    for columns in found:
-        held.append(merged([(columns, np.ones(len(columns[0])))]))
-        size += len(held[-1][1])
-        if size > 2 * HELD:
-            held = [merged(held)]
-            size = len(held[0][1])
-            if size > HELD:
-                yield rows(*held[0])
-                held, size = [], 0
-    if held:
-        yield rows(*merged(held))
 
+def small(x: np.ndarray) -> bytes:
+    """Whole numbers, compressed."""
+    return pa.compress(np.ascontiguousarray(x.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes(), "zstd", asbytes=True)
 
-def counted(texts: DataFrame, keys, names: tuple[str, ...] = ("key",)) -> DataFrame:
-    """Rows (*names, n) over all texts; keys: tokens and their owners to the arrays that ``tallied`` takes."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return tallied((keys(w, o) for b in batches for _, _, w, o in sequences(b.column("text").to_pylist())), names)
+def large(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 4 * n, "zstd", asbytes=True), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<i4")[:, 0]
 
-    return texts.select("text").mapInArrow(run, ", ".join(f"{c} long" for c in (*names, "n"))).groupBy(*names).agg(F.sum("n").alias("n"))
 
+def batched(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as batches: their words, the most frequent first, with the start, and the words' numbers for each token."""
+    from pyspark import TaskContext
 
-class Discount:
-    """Good-Turing discounts from the numbers of keys seen 1, 2, ... times; half a count where the estimate fails."""
+    number = TaskContext.get().partitionId() << 32
+    for record in records:
+        ids, texts, flags = (record.column(c).to_pylist() for c in ("doc_id", "text", "held_out"))
+        for low, high in list(tokens.groups(texts, BATCH)):
+            found, lengths = [], []
+            for a, b, token, owner in sequences(texts[low:high]):
+                found.append(token)
+                lengths.append(np.bincount(owner, minlength=b - a))
+            token, lengths = np.concatenate(found), np.concatenate(lengths)
+            words, place, times = np.unique(token, return_inverse=True, return_counts=True)
+            order = np.argsort(-times, kind="stable")
+            rank = np.empty(len(order), np.int32)
+            rank[order] = np.arange(len(order))
+            place = rank[place]
+            learns = ~np.array(flags[low:high], bool)
+            train = np.bincount(place, np.repeat(learns, lengths), len(words)).astype(np.int64)
+            words, train = np.append(words[order], START), np.append(train, learns.sum())
+            number += 1
+            yield pa.RecordBatch.from_pylist([{
+                "batch": number, "ids": ids[low:high], "flags": flags[low:high], "lengths": lengths.astype(np.int32).tobytes(), "words": words.tobytes(),
+                "train": small(train), "tokens": small(place), "n_words": len(words), "n_tokens": len(token),
+            }], pa.schema([("batch", pa.int64()), ("ids", pa.list_(pa.int64())), ("flags", pa.list_(pa.bool_())), *((c, pa.binary()) for c in ("lengths", "words", "train", "tokens")), ("n_words", pa.int64()), ("n_tokens", pa.int64())]))
 
-    def __init__(self, times: dict[int, int], k: int = MOST_DISCOUNTED):
-        n = [times.get(r, 0) for r in range(k + 2)]
-        self.factors = np.ones(k + 1)
-        tail = (k + 1) * n[k + 1] / n[1] if n[1] else 1.0
-        for r in range(1, k + 1):
-            d = ((r + 1) * n[r + 1] / (r * n[r]) - tail) / (1 - tail) if n[r] and tail < 1 else 0.0
-            self.factors[r] = d if 0 < d < 1 else 1 - 0.5 / r
 
-    def kept(self, c: np.ndarray) -> np.ndarray:
-        return c * np.where(c < len(self.factors), self.factors[np.minimum(c, len(self.factors) - 1)], 1.0)
+class Batch:
+    """A stored batch: words, tokens as places in them, and the distinct pairs of history and token."""
 
-    def column(self, c: Column) -> Column:
-        out = c.cast("double")
-        for r in range(1, len(self.factors)):
-            out = F.when(c == r, r * float(self.factors[r])).otherwise(out)
-        return out
+    def __init__(self, row: dict):
+        self.row = row
+        self.words, self.lengths = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["lengths"], np.int32)
+        self.tokens = large(row["tokens"], row["n_tokens"])
+        self.owner = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        self.learns = ~np.array(row["flags"], bool)
 
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct pairs' histories, words and keys, and each token's pair."""
+        history = np.roll(self.tokens, 1)
+        history[np.cumsum(self.lengths) - self.lengths] = len(self.words) - 1
+        code, place = np.unique(history * np.int64(len(self.words)) + self.tokens, return_inverse=True)
+        h, w = np.divmod(code, len(self.words))
+        return h, w, tokens.mixed(self.words[h] * np.uint64(tokens.BASE) + self.words[w]), place
 
-def seen_times(table: DataFrame) -> dict[int, int]:
-    rows = table.where(F.col("n") <= MOST_DISCOUNTED + 1).groupBy("n").agg(F.count("*").alias("times")).collect()
-    return {r.n: r.times for r in rows}
 
+ASKED = "part int, batch long, keys binary, counts binary"
+ANSWERS = "kind int, batch long, part int, low binary, big binary, log_alpha binary, totals array<long>"
+ANSWER = pa.schema([("kind", pa.int32()), ("batch", pa.int64()), ("part", pa.int32()), ("low", pa.binary()), ("big", pa.binary()), ("log_alpha", pa.binary()), ("totals", pa.list_(pa.int64()))])
+WORD, PAIR, HISTORY = 0, 1, 2
+#: The batch of a part's totals.
+TOTALS = -1
 
-def joined(rows: DataFrame, table: DataFrame, on: str) -> DataFrame:
-    """rows with the columns of table (on, often, ...). Many rows may have a word that is often seen: these are broadcast."""
-    often, rest = (table.where(x).drop("often") for x in ("often", "NOT often"))
-    held = rows.join(F.broadcast(often), on)
-    return held.unionByName(rows.join(F.broadcast(often.select(on)), on, "left_anti").join(rest.hint("shuffle_hash"), on))
 
+def asked(batch: int, keys: np.ndarray, counts: np.ndarray, parts: int) -> pa.RecordBatch:
+    order, cells = dealt(keys, parts)
+    keys, counts = keys[order], counts[order].astype(np.int32)
+    return pa.record_batch({
+        "part": pa.array([p for p, _, _ in cells], pa.int32()), "batch": pa.array([batch] * len(cells), pa.int64()),
+        "keys": pa.array([keys[a:b].tobytes() for _, a, b in cells], pa.binary()), "counts": pa.array([counts[a:b].tobytes() for _, a, b in cells], pa.binary()),
+    })
 
-class Model:
-    """The tables ``words`` (key, n, often, log_alpha) and ``pairs`` (key, gain, often), and what tasks hold of them.
-
-    gain: log10 of P(w | h) against alpha(h) P(w). often: whether tasks hold the row. With min_share, only pairs of
-    words that make up so much of the training tokens count; others back off.
-    """
-
-    def __init__(self, texts: DataFrame, min_share: float = 0.0):
-        words = common.stored(counted(texts, lambda w, o: (w.view(np.int64),)), "words")
-        total = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-        self.tokens, self.distinct = int(total[0]), int(total[1])
-        self.discount = Discount(seen_times(words))
-        lost = sum((1 - self.discount.factors[r]) * r * t for r, t in seen_times(words).items() if r <= MOST_DISCOUNTED)
-        # Without any mass for unknown words, the denominator is one more.
-        self.whole = self.tokens if lost > 0 else self.tokens + 1
-        self.unknown = 1 - (self.tokens - lost) / self.whole if self.tokens else 1.0
-        words = words.withColumn("often", F.col("n") >= CACHED_SHARE * self.tokens)
-        # 1 / CACHED_SHARE rows at most.
-        often = words.where("often").toArrow()
-        self.frequent = Frequent(often.column("key").to_numpy().view(np.uint64), often.column("n").to_numpy())
-        self._fit_pairs(texts, words, min_share)
 
-    def chance(self, c: np.ndarray) -> np.ndarray:
-        """P(w) of words seen c times."""
-        return np.where(c > 0, self.discount.kept(c) / max(self.whole, 1), self.unknown)
+def asked_words(records: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    for record in records:
+        for row in record.to_pylist():
+            yield asked(row["batch"], np.frombuffer(row["words"], np.uint64), large(row["train"], row["n_words"]), parts)
 
-    def base(self, c: np.ndarray) -> np.ndarray:
-        return np.log10((c + 0.5) / (self.tokens + 0.5 * (self.distinct + 1)))
 
-    def _fit_pairs(self, texts: DataFrame, words: DataFrame, min_share: float) -> None:
-        wanted = np.sort(words.where(F.col("n") >= min_share * self.tokens).select("key").toArrow().column("key").to_numpy().view(np.uint64)) if min_share > 0 else None
-
-        def keys(word: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, ...]:
-            history = histories(word, owner)
-            if wanted is not None:
-                both = np.isin(word, wanted) & (np.isin(history, wanted) | (history == START))
-                history, word = history[both], word[both]
-            return pair_keys(history, word), history.view(np.int64), word.view(np.int64)
-
-        counts = common.stored(counted(texts, keys, ("h", "w")), "pairs")
-        discount = Discount(seen_times(counts))
-        lower = words.select(F.col("key").alias("w"), "often", (self.discount.column(F.col("n")) / float(max(self.whole, 1))).alias("lower"))
-        # A share of the histories at a time: the shuffle files of each are removed before the next.
-        shares = [joined(counts.where(F.pmod("h", F.lit(ROUNDS)) == i), lower, "w").withColumn("kept", discount.column(F.col("n"))) for i in range(ROUNDS)]
-        # A text ends as often as it starts.
-        starts = words.where(F.col("key") == int(END.view(np.int64))).select(F.lit(int(START.view(np.int64))).alias("h"), F.lit(True).alias("often"), F.col("n").alias("times"))
-        times = words.select(F.col("key").alias("h"), "often", F.col("n").alias("times")).unionByName(starts)
-        sums = reduce(DataFrame.union, [common.stored(x.groupBy("h").agg(F.sum("kept").alias("known"), F.sum("lower").alias("below")), "sums") for x in shares])
-        sums = sums.join(times, "h").withColumn("whole", F.when(F.col("times") - F.col("known") > 1e-9, F.col("times")).otherwise(F.col("times") + 1).cast("double"))
-        alpha = (1 - F.col("known") / F.col("whole")) / F.greatest(1 - F.col("below"), F.lit(1e-12))
-        past = common.stored(sums.select("h", "often", "whole", alpha.alias("alpha")), "histories")
-        gain = F.log10(F.col("kept") / F.col("whole") / (F.col("alpha") * F.col("lower")))
-        often = F.col("n") >= CACHED_SHARE * self.tokens
-        self.pairs = reduce(DataFrame.union, [common.stored(joined(x, past, "h").select(F.xxhash64("h", "w").alias("key"), gain.alias("gain"), often.alias("often")), "gains") for x in shares])
-        common.removed(counts)
-        self.words = words.join(past.select(F.col("h").alias("key"), F.log10("alpha").alias("log_alpha")), "key", "left").withColumn("log_alpha", F.coalesce("log_alpha", F.lit(0.0)))
-        # 1 / CACHED_SHARE rows of each at most.
-        held = past.where("often").select("h", "alpha").toArrow()
-        self.alpha = np.ones(len(self.frequent.counts) + 2)
-        at, h = self.frequent.numbers(held.column("h").to_numpy().view(np.uint64)), held.column("h").to_numpy().view(np.uint64)
-        self.alpha[np.where(h == START, self.frequent.start, at)] = held.column("alpha").to_numpy()
-        held = self.pairs.where("often").select("key", "gain").sort("key").toArrow()
-        self.held_pairs = held.column("key").to_numpy(), held.column("gain").to_numpy()
-
-
-def part_of(key: np.ndarray, parts: int) -> np.ndarray:
-    return np.mod(key, 2147483647) * 48271 % 2147483647 % parts
-
-
-def part_column(parts: int) -> Column:
-    return (F.pmod(F.col("key"), F.lit(2147483647).cast("long")) * 48271 % 2147483647 % parts).cast("int")
-
-
-PACKED = "part int, kind int, batch long, size int, keys binary, texts binary, owners binary, times binary, ids array<long>, flags array<boolean>, n array<long>, known array<long>, base array<double>, score array<double>"
-SUMS = "batch long, ids array<long>, flags array<boolean>, n array<long>, known array<long>, base array<double>, score array<double>"
-LISTS = {"ids": pa.list_(pa.int64()), "flags": pa.list_(pa.bool_()), "n": pa.list_(pa.int64()), "known": pa.list_(pa.int64()), "base": pa.list_(pa.float64()), "score": pa.list_(pa.float64())}
-ARROW = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("batch", pa.int64()), ("size", pa.int32()), ("keys", pa.binary()), ("texts", pa.binary()), ("owners", pa.binary()), ("times", pa.binary()), *LISTS.items()])
-
-
-def owner_type(size: int) -> type:
-    return np.uint16 if size <= 1 << 16 else np.int32
-
-
-def packed(kind: int, batch: int, size: int, keys: np.ndarray, owners: np.ndarray, parts: int) -> list[dict]:
-    """A row for each part: its keys, each once and sorted, the number of texts of each, these texts, and how often each
-    has the key. owners ascend. The keys' bytes are laid out by place, as the first ones compress well."""
-    order = np.lexsort((keys, part_of(keys, parts)))
-    keys, owners = keys[order], owners[order]
-    first = np.flatnonzero((np.diff(keys, prepend=keys[:1] + 1) != 0) | (np.diff(owners, prepend=-1) != 0))
-    times = np.diff(first, append=len(keys)).astype(np.int32)
-    keys, owners = keys[first], owners[first].astype(owner_type(size))
-    part = part_of(keys, parts)
-    rows = []
-    cuts = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(part)])) if len(part) else [0]
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        own, texts = np.unique(keys[a:b], return_counts=True)
-        planes = own.view(np.uint8).reshape(-1, 8).T
-        rows.append({"part": int(part[a]), "kind": kind, "batch": batch, "size": size, "keys": planes.tobytes(), "texts": texts.astype(np.int32).tobytes(), "owners": owners[a:b].tobytes(), "times": times[a:b].tobytes()})
-    return rows
-
-
-WORD, PAIR, LOCAL = 0, 1, 2
-
-
-def sent(batches: Iterator[pa.RecordBatch], model: dict, parts: int) -> Iterator[pa.RecordBatch]:
-    """What a task knows of its texts, and the keys that it does not."""
-    from pyspark import TaskContext
+def asked_pairs(records: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    for record in records:
+        for i in range(record.num_rows):
+            batch = Batch(record.slice(i, 1).to_pylist()[0])
+            _, _, keys, place = batch.pairs()
+            yield asked(batch.row["batch"], keys, np.bincount(place, batch.learns[batch.owner], len(keys)), parts)
 
-    number = TaskContext.get().partitionId() << 32
-    frequent, log_lower, log_alpha, base = model["frequent"], model["log_lower"], model["log_alpha"], model["base"]
-    held_keys, gains = model["pairs"]
-    for record in batches:
-        ids, texts, flags = (record.column(c).to_pylist() for c in ("doc_id", "text", "held_out"))
-        pieces = list(tokens.groups(texts, BATCH))
-        for low, high in pieces:
-            size = high - low
-            sums = {c: np.zeros(size) for c in ("n", "known", "base", "score")}
-            words, pairs = [], []
-            for a, _, token, owner in sequences(texts[low:high]):
-                owner = owner + a
-                word, history = frequent.numbered(token, owner)
-                held = word > 0
-                for c, x in (("n", None), ("known", held), ("base", base[word]), ("score", log_lower[word] + log_alpha[history])):
-                    sums[c] += np.bincount(owner, x, size)
-                words.append((token[~held].view(np.int64), owner[~held]))
-                pair = pair_keys(histories(token, owner), token)
-                if len(held_keys):
-                    at = np.minimum(np.searchsorted(held_keys, pair), len(held_keys) - 1)
-                    held = held_keys[at] == pair
-                    sums["score"] += np.bincount(owner[held], gains[at[held]], size)
-                    pair, owner = pair[~held], owner[~held]
-                pairs.append((pair, owner))
-            number += 1
-            rows = [{"part": int(number % parts), "kind": LOCAL, "batch": number, "size": size, "ids": ids[low:high], "flags": flags[low:high]} | {c: sums[c].astype(np.int64) if c in ("n", "known") else sums[c] for c in sums}]
-            for kind, found in ((WORD, words), (PAIR, pairs)):
-                rows += packed(kind, number, size, *(np.concatenate(x) for x in zip(*found, strict=True)), parts)
-            for at in range(0, len(rows), 64):
-                yield pa.RecordBatch.from_pylist(rows[at : at + 64], ARROW)
-
-
-def looked_up(rows: pa.Table, table: pa.Table, model: dict) -> pa.Table:
-    """One part: the sums over its rows' keys, by batch and text. table: its rows (kind, key, value, log_alpha)."""
-    kinds, out = table.column("kind").to_numpy(), []
-    tables = {}
-    for kind in (WORD, PAIR):
-        mine = np.flatnonzero(kinds == kind)
-        keys, values, alphas = (table.column(c).to_numpy()[mine] for c in ("key", "value", "log_alpha"))
-        order = np.argsort(keys)
-        tables[kind] = keys[order], values[order], alphas[order]
-    for row in rows.to_pylist():
-        if row["kind"] == LOCAL:
-            out.append({c: row[c] for c in ("batch", *LISTS)})
-            continue
-        n_texts, owners, times = (np.frombuffer(row[c], t) for c, t in (("texts", np.int32), ("owners", owner_type(row["size"])), ("times", np.int32)))
-        asked = np.ascontiguousarray(np.frombuffer(row["keys"], np.uint8).reshape(8, -1).T).view(np.int64)[:, 0]
-        keys, *columns = tables[row["kind"]]
-        at = np.minimum(np.searchsorted(keys, asked), max(len(keys) - 1, 0))
-        found = (np.where(keys[at] == asked, x[at], 0.0) if len(keys) else np.zeros(len(asked)) for x in columns)
-        each, log_alpha = (np.repeat(x, n_texts) for x in found)
-        sums = {"batch": row["batch"]}
-        if row["kind"] == WORD:
-            c = each.astype(np.int64)
-            sums |= {"known": np.bincount(owners, times * (c > 0), row["size"]).astype(np.int64), "base": np.bincount(owners, times * model["base_of"](c), row["size"]), "score": np.bincount(owners, times * (np.log10(model["chance_of"](c)) + log_alpha), row["size"])}
-        else:
-            sums["score"] = np.bincount(owners, times * each, row["size"])
-        out.append(sums)
-    return pa.Table.from_pylist(out, pa.schema([("batch", pa.int64()), *LISTS.items()]))
-
-
-def summed(rows: pa.Table) -> pa.Table:
-    """One batch: its texts with all parts added up."""
-    out: dict = {}
-    for row in rows.to_pylist():
-        for c in ("ids", "flags", "n"):
-            if row[c] is not None:
-                out[c] = row[c]
-        for c in ("known", "base", "score"):
-            if row[c] is not None:
-                out[c] = out.get(c, 0) + np.array(row[c])
-    return pa.table({"doc_id": pa.array(out["ids"], pa.int64()), "held_out": pa.array(out["flags"], pa.bool_()), "n_tokens": pa.array(out["n"], pa.int64()), "n_known": pa.array(out["known"], pa.int64()), "base_score": pa.array(out["base"]), "score": pa.array(out["score"])})
-
-
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs (doc_id, text, held_out) with n_tokens, n_known, base_score and score (log10 of the text's probability)."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    frequent = model.frequent
-    # For words that a task does not hold the local sums are 0; their parts add them.
-    c = np.concatenate(([0], frequent.counts, [0]))
-    light = {"frequent": frequent, "log_alpha": np.log10(model.alpha), "log_lower": np.log10(model.chance(c)), "base": model.base(c), "pairs": model.held_pairs}
-    light["log_lower"][[0, -1]] = light["base"][[0, -1]] = 0
-    tokens_, distinct, whole, unknown, discount = model.tokens, model.distinct, model.whole, model.unknown, model.discount
-    rules = {
-        "base_of": lambda c: np.log10((c + 0.5) / (tokens_ + 0.5 * (distinct + 1))),
-        "chance_of": lambda c: np.where(c > 0, discount.kept(c) / max(whole, 1), unknown),
-    }
-    known = model.words.where("NOT often").select("key", F.lit(WORD).alias("kind"), F.col("n").cast("double").alias("value"), "log_alpha")
-    known = known.unionByName(model.pairs.where("NOT often").select("key", F.lit(PAIR).alias("kind"), F.col("gain").alias("value"), F.lit(0.0).alias("log_alpha")))
-    known = known.withColumn("part", part_column(parts)).select("part", "kind", "key", "value", "log_alpha")
-    asked = docs.select("doc_id", "text", "held_out").mapInArrow(lambda b: sent(b, light, parts), PACKED)
-    found = asked.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(lambda a, b: looked_up(a, b, rules), SUMS)
-    return found.groupBy("batch").applyInArrow(summed, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+
+def ranges(sizes: list[int]) -> list[tuple[int, int]]:
+    ends = np.cumsum([0, *sizes])
+    return list(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
+
+
+def totalled(rows: pa.Table, kind: int) -> pa.Table:
+    """A part's answers: twice each key's total, one more in the batch that owns the key; and the part's totals."""
+    numbers, asked = rows.column("batch").to_pylist(), rows.column("keys").to_pylist()
+    keys = np.frombuffer(b"".join(asked), np.uint64)
+    counts = np.frombuffer(b"".join(rows.column("counts").to_pylist()), np.int32)
+    own, first, place = np.unique(keys, return_index=True, return_inverse=True)
+    total = np.bincount(place, counts, len(own)).astype(np.int64)
+    value = 2 * total[place]
+    value[first] += 1
+    out = [_answer(kind, b, rows.column("part")[0].as_py(), value[x:y]) for b, (x, y) in zip(numbers, ranges([len(k) // 8 for k in asked]), strict=True)]
+    total = total[own != START]
+    out.append({"kind": kind, "batch": TOTALS, "totals": [int(total.sum()), int((total > 0).sum()), *np.bincount(total[total <= MOST_DISCOUNTED + 1], minlength=MOST_DISCOUNTED + 2)[1:].tolist()]})
+    return pa.Table.from_pylist(out, ANSWER)
+
+
+def _answer(kind: int, batch: int, part: int, value: np.ndarray) -> dict:
+    """A byte each; the values beyond a byte follow by themselves."""
+    return {"kind": kind, "batch": batch, "part": part, "low": np.minimum(value, 255).astype(np.uint8).tobytes(), "big": value[value >= 255].tobytes()}
+
+
+def told(answers: list[dict], kind: int, order: np.ndarray, column: str = "low") -> np.ndarray:
+    """What the parts answered on the keys that were sent in this order."""
+    rows = sorted((r for r in answers if r["kind"] == kind), key=lambda r: r["part"])
+    if column == "low":
+        value = np.frombuffer(b"".join(r["low"] for r in rows), np.uint8).astype(np.int64)
+        value[value == 255] = np.frombuffer(b"".join(r["big"] for r in rows), np.int64)
+    else:
+        value = np.frombuffer(b"".join(r[column] for r in rows), np.float64)
+    out = np.empty(len(order), value.dtype)
+    out[order] = value
+    return out
+
+
+MASSES = "part int, batch long, keys binary, n binary, known binary, below binary"
+
+
+class Model:
+    """What tells a batch its probabilities: the words' and pairs' totals, and the numbers of parts."""
+
+    def __init__(self, words: Words, discount: Discount, word_parts: int, pair_parts: int):
+        self.words, self.discount, self.word_parts, self.pair_parts = words, discount, word_parts, pair_parts
+
+    def _told(self, left: pa.Table, right: pa.Table):
+        batch, answers = Batch(left.to_pylist()[0]), right.to_pylist()
+        order, cells = dealt(batch.words, self.word_parts)
+        seen = told(answers, WORD, order) >> 1
+        h, w, keys, place = batch.pairs()
+        pair = told(answers, PAIR, dealt(keys, self.pair_parts)[0])
+        return batch, answers, order, cells, seen, h, w, pair, place
+
+    def masses(self, left: pa.Table, right: pa.Table) -> pa.Table:
+        """For a batch's words as histories, what the pairs that the batch owns add to their known mass."""
+        batch, _, order, cells, seen, h, w, pair, _ = self._told(left, right)
+        own = (pair & 1 == 1) & (pair > 1)
+        h, w, pair = h[own], w[own], pair[own] >> 1
+        columns = {"keys": batch.words, "n": seen, "known": np.bincount(h, self.discount.kept(pair), len(seen)), "below": np.bincount(h, self.words.chance(seen[w]), len(seen))}
+        columns = {c: x[order] for c, x in columns.items()}
+        return pa.table({"part": pa.array([p for p, _, _ in cells], pa.int32()), "batch": pa.array([batch.row["batch"]] * len(cells), pa.int64())} | {c: pa.array([x[a:b].tobytes() for _, a, b in cells], pa.binary()) for c, x in columns.items()})
+
+    def scores(self, left: pa.Table, right: pa.Table) -> pa.Table:
+        batch, answers, order, _, seen, h, _, pair, place = self._told(left, right)
+        # A text starts as often as it ends; the start's own count is that of the texts.
+        whole = seen + told(answers, HISTORY, order)
+        log_alpha, pair = told(answers, HISTORY, order, "log_alpha"), pair >> 1
+        known = np.log10(np.maximum(self.discount.kept(pair), 1e-300) / np.maximum(whole[h], 1))
+        c = seen[batch.tokens]
+        log_p = np.where(pair[place] > 0, known[place], log_alpha[h[place]] + np.log10(self.words.chance(c)))
+        sums = lambda x: np.bincount(batch.owner, x, len(batch.lengths))
+        return pa.table({
+            "doc_id": pa.array(batch.row["ids"], pa.int64()), "held_out": pa.array(batch.row["flags"], pa.bool_()), "n_tokens": pa.array(batch.lengths.astype(np.int64)),
+            "n_known": pa.array(sums(c > 0).astype(np.int64)), "base_score": pa.array(sums(self.words.base(c))), "score": pa.array(sums(log_p)),
+        })
+
+
+def weighed(rows: pa.Table) -> pa.Table:
+    """A part's answers on histories: log10 alpha, and 1 where the denominator is one more."""
+    numbers, asked = rows.column("batch").to_pylist(), rows.column("keys").to_pylist()
+    keys, n, known, below = (np.frombuffer(b"".join(rows.column(c).to_pylist()), t) for c, t in (("keys", np.uint64), ("n", np.int64), ("known", np.float64), ("below", np.float64)))
+    own, first, place = np.unique(keys, return_index=True, return_inverse=True)
+    known, below = (np.bincount(place, x, len(own)) for x in (known, below))
+    full = n[first] - known <= 1e-9
+    alpha = np.where(n[first] > 0, (1 - known / np.maximum(n[first] + full, 1)) / np.maximum(1 - below, 1e-12), 1.0)
+    log_alpha, full = np.log10(alpha)[place], full[place].astype(np.int64)
+    part = rows.column("part")[0].as_py()
+    return pa.Table.from_pylist([_answer(HISTORY, b, part, full[x:y]) | {"log_alpha": log_alpha[x:y].tobytes()} for b, (x, y) in zip(numbers, ranges([len(k) // 8 for k in asked]), strict=True)], ANSWER)
+
+
+def totals(answers: DataFrame) -> list[int]:
+    row = answers.where(F.col("batch") == TOTALS).agg(*[F.coalesce(F.sum(F.col("totals")[i]), F.lit(0)) for i in range(MOST_DISCOUNTED + 3)]).first()
+    return [int(x) for x in row]
+
+
+def scored(docs: DataFrame) -> tuple[DataFrame, Model]:
+    """docs (doc_id, text, held_out) with n_tokens, n_known, base_score and score (log10 of the text's probability) under
+    the model of those that are not held out; and what is known of that model."""
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    batches = common.stored(docs.select("doc_id", "text", F.coalesce("held_out", F.lit(False)).alias("held_out")).mapInArrow(batched, BATCHES), "batches")
+    size = batches.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
+    word_parts, pair_parts = (max(least, -(-int(n) // KEYS)) for n in size)
+    words = batches.select("batch", "words", "train", "n_words").mapInArrow(lambda b: asked_words(b, word_parts), ASKED)
+    words = common.stored(words.groupBy("part").applyInArrow(lambda t: totalled(t, WORD), ANSWERS), "words")
+    pairs = batches.mapInArrow(lambda b: asked_pairs(b, pair_parts), ASKED)
+    pairs = common.stored(pairs.groupBy("part").applyInArrow(lambda t: totalled(t, PAIR), ANSWERS), "pairs")
+    model = Model(Words(totals(words)), Discount(dict(enumerate(totals(pairs)[2:], 1))), word_parts, pair_parts)
+    answers = [words.where(F.col("batch") != TOTALS), pairs.where(F.col("batch") != TOTALS)]
+
+    def joined(function, schema: str) -> DataFrame:
+        return batches.groupBy("batch").cogroup(reduce(DataFrame.unionByName, answers).groupBy("batch")).applyInArrow(function, schema)
+
+    masses = joined(lambda left, right: model.masses(left, right), MASSES)
+    answers.append(common.stored(masses.groupBy("part").applyInArrow(weighed, ANSWERS), "histories"))
+    return joined(lambda left, right: model.scores(left, right), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"), model
 
 
 def held_out(doc_id: Column) -> Column:
@@ -367,5 +310,5 @@ def held_out(doc_id: Column) -> Column:
 def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's log10 probability under a model of those that are not held out."""
     docs = common.read(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out(F.col("doc_id")))
-    model = Model(docs.where(~F.col("held_out")))
-    return score(docs, model).withColumn("train_tokens", F.lit(model.tokens).cast("long"))
+    found, model = scored(docs)
+    return found.withColumn("train_tokens", F.lit(model.words.tokens).cast("long"))
