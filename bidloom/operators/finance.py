@@ -49,26 +49,28 @@ def quote_totals(lines: DataFrame, charges: DataFrame) -> DataFrame:
     return out.withColumn("quote_total", (F.col("lines_total") + F.col("charges_total")).cast("decimal(18,2)"))
 
 
-def _covering(lines: DataFrame, tiers: DataFrame, qty: str) -> DataFrame:
-    """Lines with the tiers that cover qty: an equi-join on the line with the range as a residual filter."""
-    tiers = tiers.select(*LINE, "tier_no", "min_qty", "max_qty", F.col("unit_price").alias("tier_price"))
-    fits = (F.col("min_qty") <= F.col(qty)) & (F.col("max_qty").isNull() | (F.col(qty) <= F.col("max_qty")))
-    return lines.select(*LINE, qty).join(tiers, LINE).where(fits)
+def _with_tiers(lines: DataFrame, tiers: DataFrame) -> DataFrame:
+    """lines with their tiers as an array; a line has a few."""
+    own = tiers.groupBy(*LINE).agg(F.collect_list(F.struct("tier_no", "min_qty", "max_qty", F.col("unit_price").alias("tier_price"))).alias("tiers"))
+    return lines.join(own, LINE, "left")
+
+
+def _fits(qty: str):
+    return lambda x: (x["min_qty"] <= F.col(qty)) & (x["max_qty"].isNull() | (F.col(qty) <= x["max_qty"]))
 
 
 def effective_price(lines: DataFrame, tiers: DataFrame, qty: str = "quoted_qty") -> DataFrame:
     """The price that holds at qty: of the tiers that cover it the one from the greatest quantity on, discounted; else the net price."""
-    best = _covering(lines, tiers, qty).groupBy(*LINE).agg(F.max_by("tier_price", "min_qty").alias("tier_price"))
-    out = net_unit_price(lines).join(best, LINE, "left")
+    out = _with_tiers(net_unit_price(lines), tiers)
+    best = F.array_max(F.transform(F.filter("tiers", _fits(qty)), lambda x: F.struct(x["min_qty"], x["tier_price"])))["tier_price"]
     keep = (100 - F.col("discount_pct")).cast("decimal(9,4)")
-    return out.withColumn("effective_price", F.coalesce(price4(F.col("tier_price") * keep * percent()), F.col("net_unit_price"))).drop("tier_price")
+    return out.withColumn("effective_price", F.coalesce(price4(best * keep * percent()), F.col("net_unit_price"))).drop("tiers")
 
 
 def first_tier(lines: DataFrame, tiers: DataFrame, qty: str) -> DataFrame:
     """lines with the first tier in list order that covers qty (tier_no, tier_price) and whether the line has tiers at all."""
-    first = _covering(lines, tiers, qty).groupBy(*LINE).agg(F.min("tier_no").alias("tier_no"), F.min_by("tier_price", "tier_no").alias("tier_price"))
-    has = tiers.select(*LINE).distinct().withColumn("has_tiers", F.lit(True))
-    return lines.join(has, LINE, "left").join(first, LINE, "left").withColumn("has_tiers", F.coalesce("has_tiers", F.lit(False)))
+    out = _with_tiers(lines, tiers).withColumn("first", F.array_min(F.filter("tiers", _fits(qty))))
+    return out.withColumns({"has_tiers": F.col("tiers").isNotNull(), "tier_no": F.col("first.tier_no"), "tier_price": F.col("first.tier_price")}).drop("tiers", "first")
 
 
 def reconcile(totals: DataFrame, stated: DataFrame, tolerance: float = 1.0) -> DataFrame:

@@ -1,10 +1,13 @@
 """Queries from units to ranking, and their DuckDB SQL."""
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bidloom.operators import commercial, finance, ranking, uom
-from bidloom.sources.domain import VIEWS, sql, table
+from bidloom.sources.domain import VIEWS, sql, table, uses
+from bidloom.sources.stage import stored
 
 QUERIES, ORACLE = {}, {}
 
@@ -111,13 +114,23 @@ VIEWS |= {
 
 
 class Tables:
-    """The domain tables of one run, built on demand."""
+    """The domain tables of one run, built on demand. What takes a shuffle of the fact table (``WRITTEN``) is written once
+    where a run needs it, and the other views read it there."""
+
+    WRITTEN = ("quote_lines", "quotes")
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir, self.given, self.built = spark, sf_dir, {}, {}
 
     def __getattr__(self, name: str) -> DataFrame:
-        return table(self.spark, self.sf_dir, name)
+        if name not in self.built:
+            for view in self.WRITTEN:
+                if view not in self.given and uses(name, view):
+                    rows = stored(table(self.spark, self.sf_dir, view, self.given), view)
+                    self.given[view] = f"{view}_{uuid.uuid4().hex}"
+                    rows.createOrReplaceTempView(self.given[view])
+            self.built[name] = self.spark.table(self.given[name]) if name in self.given else table(self.spark, self.sf_dir, name, self.given)
+        return self.built[name]
 
     def totals(self) -> DataFrame:
         return finance.quote_totals(self.quote_lines, self.charges)

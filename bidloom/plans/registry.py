@@ -1,6 +1,6 @@
 """Queries over the driver's tables and the SQL that must give the same rows."""
 
-from bidloom.plans import commercial, documents, procurement, reviews, text
+from bidloom.plans import commercial, documents, fields, procurement, reviews, sheets, text
 
-QUERIES = commercial.QUERIES | text.QUERIES | procurement.QUERIES | documents.QUERIES | reviews.QUERIES
-ORACLE = commercial.ORACLE | text.ORACLE | procurement.ORACLE | documents.ORACLE | reviews.ORACLE
+QUERIES = commercial.QUERIES | text.QUERIES | procurement.QUERIES | documents.QUERIES | reviews.QUERIES | sheets.QUERIES | fields.QUERIES
+ORACLE = commercial.ORACLE | text.ORACLE | procurement.ORACLE | documents.ORACLE | reviews.ORACLE | sheets.ORACLE | fields.ORACLE

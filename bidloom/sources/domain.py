@@ -87,17 +87,19 @@ UOM = (
 )
 
 
-def _needed(text: str, found: dict[str, str]) -> None:
+def _needed(text: str, found: dict[str, str], given: dict[str, str]) -> None:
     for name in re.findall(r"\{(\w+)\}", text):
-        if name in VIEWS and name not in found:
-            _needed(VIEWS[name], found)
+        if name in VIEWS and name not in found and name not in given:
+            _needed(VIEWS[name], found, given)
             found[name] = VIEWS[name]
 
 
-def sql(query: str, sf_dir: str | None = None) -> str:
-    """query with the views that it names as common table expressions; for Spark over sf_dir, or for DuckDB without."""
+def sql(query: str, sf_dir: str | None = None, given: dict[str, str] | None = None) -> str:
+    """query with the views that it names as common table expressions; for Spark over sf_dir, or for DuckDB without.
+    given: relations that hold some of the views already."""
     found: dict[str, str] = {}
-    _needed(query, found)
+    given = given or {}
+    _needed(query, found, given)
     text = ""
     if found:
         text = "WITH " + ", ".join(f"{name} AS ({body})" for name, body in found.items())
@@ -106,12 +108,19 @@ def sql(query: str, sf_dir: str | None = None) -> str:
     else:
         text = query
     text = text.replace("{UOM}", UOM)
-    text = re.sub(r"\{(\w+)\}", lambda m: f"parquet.`{sf_dir}/{m[1]}.parquet`" if sf_dir and m[1] in TABLES else m[1], text)
+    text = re.sub(r"\{(\w+)\}", lambda m: f"parquet.`{sf_dir}/{m[1]}.parquet`" if sf_dir and m[1] in TABLES else given.get(m[1], m[1]), text)
     if sf_dir:
         return text.replace("~/", "div")
-    return text.replace("~/", "//").replace("explode(split(", "unnest(string_split(")
+    return text.replace("~/", "//").replace("explode(split(", "unnest(string_split(").replace(" array(", " list_value(")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str, given: dict[str, str] | None = None) -> DataFrame:
     """A view, or a driver table, as a DataFrame."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet") if name in TABLES else spark.sql(sql(f"SELECT * FROM {{{name}}}", sf_dir))
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet") if name in TABLES else spark.sql(sql(f"SELECT * FROM {{{name}}}", sf_dir, given))
+
+
+def uses(name: str, view: str) -> bool:
+    """Whether a view is another one, or is built from it."""
+    found: dict[str, str] = {}
+    _needed(f"{{{name}}}", found, {})
+    return view in found
