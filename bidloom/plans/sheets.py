@@ -118,13 +118,13 @@ def count_hits(text: str, words: list[str]) -> str:
 
 WORDS = f"list_filter(has, lambda c: c <> '' AND NOT {NUMBER.format('c')})"
 VIEWS |= {
-    "o_scored": f"""
+    "o_header_scores": f"""
         SELECT *, CASE WHEN len(has) < 2 OR len(list_filter(has, lambda c: {NUMBER.format("c")})) / len(has) >= 0.4 THEN 0 WHEN {count_hits("line", v.TIER_WORDS)} >= 2 OR list_has_any(has, ['min qty', 'from qty', 'tier']) THEN 0.95
             WHEN named AND price AND amount THEN 0.9 WHEN named AND price THEN 0.75 WHEN named AND amount THEN 0.7 WHEN price AND amount THEN 0.6 WHEN n_roles >= 3 THEN 0.65 ELSE 0 END::DOUBLE AS score
         FROM (SELECT *, array_to_string(has, ' ') AS line, {some("words", v.lenient("description"))} OR {some("words", v.lenient("part_number"))} AS named, {some("words", v.lenient("qty"))} OR {some("words", v.lenient("uom"))} AS amount, {some("words", v.lenient("unit_price"))} AS price,
             {" + ".join(some("words", v.lenient(r)) + "::INT" for r in v.HEADERS)} AS n_roles FROM (SELECT *, {WORDS} AS words FROM (SELECT *, list_transform({FILLED.format("cells")}, lambda c: {LOW.format("c")}) AS has FROM {{sheet_rows}})))""",
     "o_numbered": f"""
-        SELECT *, sum((score >= 0.5)::INT) OVER (PARTITION BY doc_id, sheet ORDER BY row_no) AS table_no, len({FILLED.format("cells")}) = 0 AS blank, trim(array_to_string({FILLED.format("cells")}, ' ')) AS said FROM {{o_scored}}""",
+        SELECT *, sum((score >= 0.5)::INT) OVER (PARTITION BY doc_id, sheet ORDER BY row_no) AS table_no, len({FILLED.format("cells")}) = 0 AS blank, trim(array_to_string({FILLED.format("cells")}, ' ')) AS said FROM {{o_header_scores}}""",
     "o_ended": f"""
         SELECT *, max(ends) OVER (PARTITION BY doc_id, sheet, table_no ORDER BY row_no) AS ended, max(CASE WHEN score >= 0.5 THEN len(regexp_replace(array_to_string(list_transform(cells, lambda c: CASE WHEN c = '' THEN '0' ELSE '1' END), ''), '0+$', '')) END) OVER (PARTITION BY doc_id, sheet, table_no) AS width,
             max(table_no) OVER (PARTITION BY doc_id, sheet) AS n_tables
@@ -175,7 +175,7 @@ def classify_regions(s):
     return sheets.regions(s.rows)
 
 
-@query("header_rows", "SELECT doc_id, sheet, row_no, score FROM {o_scored} WHERE score >= 0.5")
+@query("header_rows", "SELECT doc_id, sheet, row_no, score FROM {o_header_scores} WHERE score >= 0.5")
 def header_rows(s):
     return sheets.header_rows(s.rows).select("doc_id", "sheet", "row_no", "score")
 
