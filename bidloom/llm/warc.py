@@ -11,7 +11,9 @@ Reading: the driver packs whole archives into partitions of about ``split_bytes`
 first; filters on ``record_type``, ``record_id``, ``target_uri``, ``refers_to`` and ``payload_digest`` are pushed down
 to that point, and the payload of a record that fails them, or of any record with ``payload=false``, is not decoded
 (stepped over by the length in the gzip header, or by Content-Length in a plain archive). With ``verify=true`` the
-digest of each response is computed anew and a difference raises.
+digest of each response is computed anew and a difference raises. Records of all types and of any writer come: header
+names count in any case, a payload is what follows the HTTP headers (of a request too) or else the whole block, and the
+``warcinfo`` that describes an archive comes only to a filter that names it. An archive that ends within a record raises.
 
 Paths are URIs of any store that pyarrow's file systems open. Edge cases: null payloads are written as empty ones,
 null URIs and references are left out, line breaks in header values become spaces, an empty table makes no archive
@@ -127,6 +129,10 @@ class WarcWriter(DataSourceArrowWriter):
             fs.delete_file(f"{root}/{name}")
 
 
+#: Record types whose block begins with HTTP headers.
+WITH_HTTP = ("response", "request", "revisit")
+
+
 @dataclass
 class Archives(InputPartition):
     files: list[str]
@@ -177,28 +183,47 @@ class WarcReader(DataSourceReader):
 
     def headers(self, text: bytes) -> tuple[dict, int] | None:
         """The row of a record's headers and its Content-Length; None for a record that no filter asks for."""
-        fields = dict(line.split(": ", 1) for line in text.decode("utf-8", "replace").split("\r\n")[1:] if ": " in line)
-        row = {c: fields.get(h) for c, h in HEADERS.items()}
+        lines = (line.split(":", 1) for line in text.decode("utf-8", "replace").split("\r\n")[1:] if ":" in line)
+        fields = {name.strip().lower(): value.strip() for name, value in lines}
+        row = {c: fields.get(h.lower()) for c, h in HEADERS.items()}
         for c in ("record_id", "refers_to"):
             row[c] = row[c].strip("<>") if row[c] else None
         row["payload_digest"] = (row["payload_digest"] or "").removeprefix("sha1:") or None
-        length = int(fields["Content-Length"])
-        keep = row["record_type"] in ("response", "revisit") and self.wanted(row)
+        if not fields.get("content-length", "").isdigit():
+            raise ValueError(f"a record without a length: {text[:80]!r}")
+        length = int(fields["content-length"])
+        # What describes the archive itself only comes where it is asked for.
+        keep = self.wanted(row) and (row["record_type"] != "warcinfo" or "record_type" in self.equal)
         return (row, length) if keep else (None, length)
 
-    def finish(self, row: dict, block: bytes) -> dict:
-        """The row with what its block says: the HTTP headers, and a response's payload."""
-        head, _, payload = block.partition(b"\r\n\r\n")
-        row["payload_bytes"], row["payload"] = len(payload), payload if self.payload else None
+    def finish(self, row: dict, block: bytes, length: int) -> dict:
+        """The row with what its block, of which the HTTP headers at least are here, says: a response's or request's payload
+        comes after its HTTP headers, other records' payload is their block; a revisit has none, only the size in its headers."""
+        http = row["record_type"] in WITH_HTTP
+        head, _, payload = block.partition(b"\r\n\r\n") if http else (b"", b"", block)
+        row["payload"] = payload if self.payload else None
+        row["payload_bytes"] = length - len(block) + len(payload)
         if row["record_type"] == "revisit":
-            row["payload_bytes"] = int(head.lower().rpartition(b"content-length:")[2].split(b"\r\n")[0])
-            row["payload"] = None
-        elif self.verify and digest(payload) != row["payload_digest"]:
+            size = head.lower().rpartition(b"content-length:")[2].split(b"\r\n")[0].strip() if b"content-length:" in head.lower() else b""
+            row["payload_bytes"], row["payload"] = int(size) if size.isdigit() else None, None
+        elif self.verify and row["payload_digest"] and digest(payload) != row["payload_digest"]:
             raise ValueError(f"payload of {row['record_id']} differs from its digest")
         return row
 
+    def whole(self, row: dict) -> bool:
+        """Whether a record's block is needed as a whole."""
+        return self.payload or self.verify or row["record_type"] == "revisit"
+
     def record(self, source, compressed: bool) -> tuple[bool, dict | None]:
-        """Whether there is another record, and its row if it is wanted. source stands at its start, then behind it."""
+        """Whether there is another record, and its row if it is wanted. source stands at its start, then behind it. An
+        archive that ends within a record is an error."""
+
+        def read(n: int) -> bytes:
+            found = source.read(n)
+            if not found:
+                raise EOFError(f"the archive ends within the record at byte {start}")
+            return found
+
         start = source.tell()
         if compressed:
             head = source.read(GZIP.size)
@@ -208,41 +233,43 @@ class WarcReader(DataSourceReader):
             whole = GZIP.unpack(head)[-2] if known else None
             inflate = zlib.decompressobj(31)
             data, more = b"", head
-            while b"\r\n\r\n" not in data and more:
-                more += source.read(2048)
+            while b"\r\n\r\n" not in data:
+                more = more or read(2048)
                 data += inflate.decompress(more, 4096)
                 more = inflate.unconsumed_tail
+                if inflate.eof and b"\r\n\r\n" not in data:
+                    raise ValueError(f"no record at byte {start}")
             top, _, block = data.partition(b"\r\n\r\n")
             row, length = self.headers(top)
-            if row is not None and (self.payload or self.verify or row["record_type"] == "revisit"):
-                while len(block) < length:
-                    block += inflate.decompress(more or source.read(1 << 16))
+            if row is not None:
+                while len(block) < length and (self.whole(row) or (row["record_type"] in WITH_HTTP and b"\r\n\r\n" not in block)):
+                    if inflate.eof:
+                        raise EOFError(f"the record at byte {start} is shorter than its length")
+                    block += inflate.decompress(more or read(1 << 16), 1 << 20)
                     more = inflate.unconsumed_tail
-                row = self.finish(row, block[:length])
-            elif row is not None:
-                row = self.finish(row, block[: block.find(b"\r\n\r\n") + 4]) | {"payload_bytes": length - block.find(b"\r\n\r\n") - 4}
+                row = self.finish(row, block[:length], length)
             if whole is None:
                 while not inflate.eof:
-                    inflate.decompress(more or source.read(1 << 16))
+                    inflate.decompress(more or read(1 << 16), 1 << 20)
                     more = inflate.unconsumed_tail
                 whole = source.tell() - start - len(inflate.unused_data)
             source.seek(start + whole)
             return True, row
         data = source.read(2048)
+        while data and not data.strip(b"\r\n"):  # blank lines after the last record
+            data = source.read(2048)
         if not data:
             return False, None
         while b"\r\n\r\n" not in data:
-            data += source.read(2048)
+            data += read(2048)
         at = data.index(b"\r\n\r\n") + 4
         row, length = self.headers(data[: at - 4])
         if row is not None:
             source.seek(start + at)
-            if self.payload or self.verify or row["record_type"] == "revisit":
-                row = self.finish(row, source.read(length))
-            else:
-                block = source.read(1024)
-                http = block.find(b"\r\n\r\n") + 4
-                row = self.finish(row, block[:http]) | {"payload_bytes": length - http}
+            block = b""
+            while len(block) < length and (self.whole(row) or (row["record_type"] in WITH_HTTP and b"\r\n\r\n" not in block)):
+                block += read(min(length - len(block), 1 << 20 if self.whole(row) else 1024))
+            row = self.finish(row, block, length)
         source.seek(start + at + length + 4)
         return True, row
 

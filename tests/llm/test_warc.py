@@ -74,3 +74,43 @@ def test_damage_is_found(spark, pages, tmp_path):
         f.write_bytes(f.read_bytes().replace(b"<p>one", b"<p>two"))
     with pytest.raises(Exception, match="differs from its digest"):
         warc.load(spark, f"file://{path}", verify="true").collect()
+
+
+FOREIGN = [
+    ("request", b"GET / HTTP/1.1\r\nhost: x\r\n\r\n"), ("response", b"HTTP/1.1 200 OK\r\n\r\n<p>body</p>"), ("metadata", b"fetchTimeMs: 12\r\n\r\n"),
+    ("resource", b"plain payload"), ("conversion", b""),
+]
+
+
+def foreign(names=str.lower):
+    """Records as another writer may write them: other header case, no digests, all types."""
+    out = []
+    for i, (kind, block) in enumerate(FOREIGN):
+        heads = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:x:{i}>"), ("WARC-Target-URI", "http://x/"), ("Content-Length", str(len(block)))]
+        out.append(b"WARC/1.0\r\n" + b"".join(f"{names(k)}:{v}\r\n".encode() for k, v in heads) + b"\r\n" + block + b"\r\n\r\n")
+    return out
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.warc").write_bytes(b"".join(foreign()))
+    (tmp_path / "a" / "y.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in foreign(str.upper)))
+    for payload in ("true", "false"):
+        rows = warc.load(spark, f"file://{tmp_path}/a", payload=payload).collect()
+        assert sorted(r.record_type for r in rows) == sorted(2 * [k for k, _ in FOREIGN])
+        sizes = {"request": 0, "response": 11, "metadata": 19, "resource": 13, "conversion": 0}
+        assert all(r.payload_bytes == sizes[r.record_type] for r in rows)
+    assert warc.load(spark, f"file://{tmp_path}/a").where("record_type = 'metadata'").count() == 2
+
+
+def test_cut_archives_are_errors(spark, tmp_path):
+    import gzip
+
+    for name, data in (("x.warc", b"".join(foreign())[:-60]), ("z.warc", b"".join(foreign())[:30]), ("y.warc.gz", gzip.compress(foreign()[1])[:-30])):
+        folder = tmp_path / name.replace(".", "")
+        folder.mkdir()
+        (folder / name).write_bytes(data)
+        with pytest.raises(Exception, match="ends within|shorter than|no record"):
+            warc.load(spark, f"file://{folder}").collect()
