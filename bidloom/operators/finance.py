@@ -81,6 +81,10 @@ def reconcile(totals: DataFrame, stated: DataFrame, tolerance: float = 1.0) -> D
     return out.withColumn("discrepancy", gap).withColumn("status", status)
 
 
+#: What validation finds in a document's header rather than in its lines.
+HEADER_ISSUES = ("SUPPLIER_UNKNOWN", "QUOTE_NUMBER_MISSING")
+
+
 def quote_issues(quotes: DataFrame, lines: DataFrame, units: list[str]) -> DataFrame:
     """Long table (quote_id, line_index, code, severity): what validation finds in headers and lines."""
     none = F.lit(None).cast("int")
@@ -91,27 +95,34 @@ def quote_issues(quotes: DataFrame, lines: DataFrame, units: list[str]) -> DataF
 
     head = rows(quotes, none, [
         (F.coalesce(F.col("supplier_name"), F.lit("Unknown Supplier")) == "Unknown Supplier", "SUPPLIER_UNKNOWN", "HIGH"),
+        (F.coalesce(F.col("quote_number"), F.lit("")) == "", "QUOTE_NUMBER_MISSING", "LOW"),
         (F.coalesce(F.col("n_lines"), F.lit(0)) == 0, "NO_LINE_ITEMS", "CRITICAL"),
     ])
     body = rows(lines, F.col("line_index"), [
         (F.col("unit_price") <= 0, "UNIT_PRICE_INVALID", "HIGH"),
         (F.col("quoted_qty") <= 0, "QUANTITY_INVALID", "HIGH"),
-        (~F.upper("quoted_uom").isin(units), "UOM_NON_STANDARD", "MEDIUM"),
-        (F.length(F.trim("raw_description")) < 24, "SHORT_DESCRIPTION", "MEDIUM"),
+        (~F.upper(F.trim("quoted_uom")).isin(units), "UOM_NON_STANDARD", "MEDIUM"),
+        (F.length(F.trim("raw_description")) < 2, "SHORT_DESCRIPTION", "MEDIUM"),
     ])
     return head.unionByName(body)
 
 
 def confidence(issues: DataFrame, quotes: DataFrame, reconciled: DataFrame) -> DataFrame:
-    """Confidence from penalties by severity, capped by the worst of them, and the document's status."""
+    """Confidence from penalties by severity, capped by the worst of them; that of the header, the lines and the sums by
+    themselves; and the document's status."""
     penalty = {"CRITICAL": 0.50, "HIGH": 0.25, "MEDIUM": 0.10, "LOW": 0.05}
-    sums = issues.groupBy("quote_id").agg(*[F.count_if(F.col("severity") == s).alias(s.lower()) for s in penalty])
+    header = F.col("code").isin(*HEADER_ISSUES)
+    sums = issues.groupBy("quote_id").agg(*[F.count_if(F.col("severity") == s).alias(s.lower()) for s in penalty], F.count_if(header).alias("n_header"), F.count_if(~header).alias("n_items"))
     out = quotes.select("quote_id").join(sums, "quote_id", "left").join(reconciled.select("quote_id", "status"), "quote_id", "left").fillna(0)
     off = (F.col("status") == "DISCREPANCY").cast("int")
     raw = 1.0 - sum((F.col(s.lower()) * p for s, p in penalty.items()), 0.25 * off)
     capped = F.when(F.col("critical") > 0, F.least(raw, F.lit(0.30))).when(off == 1, F.least(raw, F.lit(0.55))).when(F.col("high") > 0, F.least(raw, F.lit(0.65))).otherwise(raw)
-    out = out.withColumn("confidence", F.round(F.greatest(capped, F.lit(0.10)), 4))
+    part = lambda loss: F.greatest(F.round(1.0 - loss, 2), F.lit(0.10))
+    out = out.withColumns({
+        "confidence": F.round(F.greatest(capped, F.lit(0.10)), 2), "metadata_confidence": part(0.25 * F.col("n_header")), "line_item_confidence": part(0.15 * F.col("n_items")), "financial_confidence": part(0.40 * off),
+    })
     state = (
-        F.when(F.col("critical") > 0, "INSUFFICIENT_DATA").when(F.col("status") == "DISCREPANCY", "DISCREPANCY").when(F.col("high") > 0, "REVIEW_REQUIRED").otherwise(F.col("status"))
+        F.when(F.col("critical") > 0, "INSUFFICIENT_DATA").when(F.col("status") == "DISCREPANCY", "DISCREPANCY").when((F.col("high") > 0) | (F.col("medium") > 0), "REVIEW_REQUIRED").otherwise(F.col("status"))
     )
-    return out.select("quote_id", "critical", "high", "medium", "low", "confidence", state.alias("document_status"), state.isin("RECONCILED", "CALCULATED_ONLY").alias("is_valid"))
+    valid = (F.col("critical") == 0) & (F.col("high") == 0) & (off == 0)
+    return out.select("quote_id", "critical", "high", "medium", "low", "confidence", "metadata_confidence", "line_item_confidence", "financial_confidence", state.alias("document_status"), valid.alias("is_valid"))

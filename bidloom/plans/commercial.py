@@ -5,6 +5,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bidloom.functions import text
 from bidloom.operators import commercial, finance, ranking, uom
 from bidloom.sources.domain import VIEWS, sql, table, uses
 from bidloom.sources.stage import stored
@@ -42,13 +43,16 @@ VIEWS |= {
         SELECT quote_id, lines_total, charges_total, quote_total, stated_total, (stated_total - quote_total)::DECIMAL(18,2) AS discrepancy,
                CASE WHEN stated_total IS NULL THEN 'CALCULATED_ONLY' WHEN abs(stated_total - quote_total) <= 1 THEN 'RECONCILED' ELSE 'DISCREPANCY' END AS status
         FROM {o_totals} LEFT JOIN {o_stated} USING (quote_id)""",
-    "o_issues": """
-        SELECT quote_id, NULL::INT AS line_index, 'SUPPLIER_UNKNOWN' AS code, 'HIGH' AS severity FROM {quotes} WHERE coalesce(supplier_name, 'Unknown Supplier') = 'Unknown Supplier'
-        UNION ALL SELECT quote_id, NULL, 'NO_LINE_ITEMS', 'CRITICAL' FROM {quotes} WHERE coalesce(n_lines, 0) = 0
-        UNION ALL SELECT quote_id, line_index, 'UNIT_PRICE_INVALID', 'HIGH' FROM {quote_lines} WHERE unit_price <= 0
-        UNION ALL SELECT quote_id, line_index, 'QUANTITY_INVALID', 'HIGH' FROM {quote_lines} WHERE quoted_qty <= 0
-        UNION ALL SELECT quote_id, line_index, 'UOM_NON_STANDARD', 'MEDIUM' FROM {quote_lines} WHERE upper(quoted_uom) NOT IN ('PCS', 'MTR', 'KG', 'LTR', 'BOX')
-        UNION ALL SELECT quote_id, line_index, 'SHORT_DESCRIPTION', 'MEDIUM' FROM {quote_lines} WHERE length(trim(raw_description)) < 24""",
+    "checked_quotes": "SELECT quote_id, CASE WHEN length(quote_id) % 4 = 0 THEN '' ELSE quote_id END AS quote_number, CASE WHEN credit_days % 9 = 0 THEN 'Unknown Supplier' ELSE supplier_name END AS supplier_name, CASE WHEN credit_days % 31 = 30 THEN 0 ELSE n_lines END AS n_lines FROM {quotes}",
+    "checked_lines": "SELECT quote_id, line_index, CASE WHEN item_key % 53 = 0 THEN unit_price - unit_price ELSE unit_price END AS unit_price, quoted_qty, CASE WHEN item_key % 47 = 0 THEN 'COIL' ELSE ' ' || lower(quoted_uom) END AS quoted_uom, CASE WHEN item_key % 43 = 0 THEN ' x ' ELSE raw_description END AS raw_description FROM {quote_lines}",
+    "o_issues": f"""
+        SELECT quote_id, NULL::INT AS line_index, 'SUPPLIER_UNKNOWN' AS code, 'HIGH' AS severity FROM {{checked_quotes}} WHERE coalesce(supplier_name, 'Unknown Supplier') = 'Unknown Supplier'
+        UNION ALL SELECT quote_id, NULL, 'QUOTE_NUMBER_MISSING', 'LOW' FROM {{checked_quotes}} WHERE coalesce(quote_number, '') = ''
+        UNION ALL SELECT quote_id, NULL, 'NO_LINE_ITEMS', 'CRITICAL' FROM {{checked_quotes}} WHERE coalesce(n_lines, 0) = 0
+        UNION ALL SELECT quote_id, line_index, 'UNIT_PRICE_INVALID', 'HIGH' FROM {{checked_lines}} WHERE unit_price <= 0
+        UNION ALL SELECT quote_id, line_index, 'QUANTITY_INVALID', 'HIGH' FROM {{checked_lines}} WHERE quoted_qty <= 0
+        UNION ALL SELECT quote_id, line_index, 'UOM_NON_STANDARD', 'MEDIUM' FROM {{checked_lines}} WHERE upper(trim(quoted_uom)) NOT IN ({", ".join(f"'{u}'" for u in text.STANDARD_UNITS)})
+        UNION ALL SELECT quote_id, line_index, 'SHORT_DESCRIPTION', 'MEDIUM' FROM {{checked_lines}} WHERE length(trim(raw_description)) < 2""",
     "o_qty": f"""
         SELECT *, {hdiv("requested_quantity", "coalesce(uom_factor, 1)", 4)} AS qty_quoted FROM (
         SELECT m.*, CASE WHEN quoted_uom = requested_uom THEN 1 WHEN quoted_uom = 'BOX' AND box_factor IS NOT NULL THEN box_factor
@@ -146,7 +150,7 @@ class Tables:
         return finance.reconcile(self.totals(), self.stated())
 
     def issues(self) -> DataFrame:
-        return finance.quote_issues(self.quotes, self.quote_lines, ["PCS", "MTR", "KG", "LTR", "BOX"])
+        return finance.quote_issues(self.checked_quotes, self.checked_lines, text.STANDARD_UNITS)
 
     def prices(self, method: str = "NONE") -> DataFrame:
         allocated = None if method == "NONE" else commercial.allocate_charges(self.matches, self.rfq_lines, self.charges, method)
@@ -215,10 +219,11 @@ def quote_issues(spark, sf_dir):
 
 
 @query("confidence", """
-SELECT quote_id, critical, high, medium, low, round(greatest(CASE WHEN critical > 0 THEN least(raw, 0.30) WHEN off THEN least(raw, 0.55) WHEN high > 0 THEN least(raw, 0.65) ELSE raw END, 0.10)::DOUBLE, 4) AS confidence,
-  CASE WHEN critical > 0 THEN 'INSUFFICIENT_DATA' WHEN off THEN 'DISCREPANCY' WHEN high > 0 THEN 'REVIEW_REQUIRED' ELSE status END AS document_status, NOT (critical > 0 OR off OR high > 0) AS is_valid
-FROM (SELECT *, 1.0::DOUBLE - (CASE WHEN off THEN 0.25::DOUBLE ELSE 0 END + critical * 0.50::DOUBLE + high * 0.25::DOUBLE + medium * 0.10::DOUBLE + low * 0.05::DOUBLE) AS raw FROM (
-SELECT q.quote_id, r.status, r.status = 'DISCREPANCY' AS off, count(*) FILTER (WHERE severity = 'CRITICAL') AS critical, count(*) FILTER (WHERE severity = 'HIGH') AS high, count(*) FILTER (WHERE severity = 'MEDIUM') AS medium, count(*) FILTER (WHERE severity = 'LOW') AS low
+SELECT quote_id, critical, high, medium, low, round(greatest(CASE WHEN critical > 0 THEN least(raw, 0.30) WHEN off THEN least(raw, 0.55) WHEN high > 0 THEN least(raw, 0.65) ELSE raw END, 0.10)::DOUBLE, 2) AS confidence,
+  greatest(round(1 - 0.25 * n_header, 2), 0.10)::DOUBLE AS metadata_confidence, greatest(round(1 - 0.15 * n_items, 2), 0.10)::DOUBLE AS line_item_confidence, (CASE WHEN off THEN 0.6 ELSE 1 END)::DOUBLE AS financial_confidence,
+  CASE WHEN critical > 0 THEN 'INSUFFICIENT_DATA' WHEN off THEN 'DISCREPANCY' WHEN high > 0 OR medium > 0 THEN 'REVIEW_REQUIRED' ELSE status END AS document_status, critical = 0 AND high = 0 AND NOT off AS is_valid
+FROM (SELECT *, 1 - 0.50 * critical - 0.25 * high - 0.10 * medium - 0.05 * low - CASE WHEN off THEN 0.25 ELSE 0 END AS raw FROM (SELECT q.quote_id, r.status, coalesce(r.status, '') = 'DISCREPANCY' AS off, count(*) FILTER (WHERE severity = 'CRITICAL') AS critical, count(*) FILTER (WHERE severity = 'HIGH') AS high, count(*) FILTER (WHERE severity = 'MEDIUM') AS medium,
+  count(*) FILTER (WHERE severity = 'LOW') AS low, count(*) FILTER (WHERE code IN ('SUPPLIER_UNKNOWN', 'QUOTE_NUMBER_MISSING')) AS n_header, count(*) FILTER (WHERE code NOT IN ('SUPPLIER_UNKNOWN', 'QUOTE_NUMBER_MISSING')) AS n_items
 FROM {quotes} q LEFT JOIN {o_issues} i ON i.quote_id = q.quote_id LEFT JOIN {o_reconciled} r ON r.quote_id = q.quote_id GROUP BY q.quote_id, r.status))""")
 def confidence(spark, sf_dir):
     t = Tables(spark, sf_dir)

@@ -1,6 +1,6 @@
 """Queries over the driver's tables and the SQL that must give the same rows."""
 
-from bidloom.plans import commercial, documents, fields, lifecycle, procurement, reviews, sheets, text
+from bidloom.plans import commercial, documents, fields, files, lifecycle, procurement, requirements, reviews, sheets, text
 
-QUERIES = commercial.QUERIES | text.QUERIES | procurement.QUERIES | documents.QUERIES | reviews.QUERIES | sheets.QUERIES | fields.QUERIES | lifecycle.QUERIES
-ORACLE = commercial.ORACLE | text.ORACLE | procurement.ORACLE | documents.ORACLE | reviews.ORACLE | sheets.ORACLE | fields.ORACLE | lifecycle.ORACLE
+QUERIES = commercial.QUERIES | text.QUERIES | procurement.QUERIES | documents.QUERIES | requirements.QUERIES | reviews.QUERIES | sheets.QUERIES | fields.QUERIES | files.QUERIES | lifecycle.QUERIES
+ORACLE = commercial.ORACLE | text.ORACLE | procurement.ORACLE | documents.ORACLE | requirements.ORACLE | reviews.ORACLE | sheets.ORACLE | fields.ORACLE | files.ORACLE | lifecycle.ORACLE
