@@ -17,7 +17,7 @@ DELIMITERS = ",\t;|"
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
     """The files under path: (path, name, suffix, reader, error, length, content); a file of an unknown suffix has an error
-    and no reader. Columns that are not asked for, the content too, are not read."""
+    and no reader; an empty file has no row. Columns that are not asked for, the content too, are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.element_at(F.split("path", "/"), -1)
     suffix = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
