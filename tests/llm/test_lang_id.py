@@ -45,3 +45,55 @@ def test_ambiguity_is_flagged():
     model = lang_id.Model(["a", "b"], np.random.default_rng(0).integers(0, 9, (2, 2 * lang_id.SLOTS)))
     _, score, near = model.decode(np.array([[0.0], [3.0]]))
     assert near.tolist() == [True, False] and score[0] == pytest.approx(0.5)
+
+
+def plain(rows, texts):
+    """The same classifiers and decoding with dictionaries, n-gram by n-gram."""
+    import math
+    from collections import Counter
+
+    def grams(text):
+        data = [b if b >= 0x80 or 97 <= b <= 122 else 32 for b in f" {text} ".lower().encode("utf-8", "replace")]
+        for order in lang_id.ORDERS:
+            for i in range(len(data) - order + 1):
+                key = 0
+                for b in data[i : i + order]:
+                    key = (key << 8 | b) & 0xFFFFFFFF
+                yield order, key & 0xFFFF if order == 2 else (key * 2654435761 & 0xFFFFFFFF) >> 16
+
+    langs = sorted({k for _, t, k in rows if k is not None and t is not None and lang_id.has_letter(t)})
+    seen = {k: Counter(g for _, t, own in rows if own == k and lang_id.has_letter(t) for g in grams(t)) for k in langs}
+    whole = {k: {o: sum(n for (p, _), n in seen[k].items() if p == o) + 0.5 * lang_id.SLOTS for o in lang_id.ORDERS} for k in langs}
+    share = lambda k, g: (seen[k][g] + 0.5) / whole[k][g[0]]
+    codes = lang_id.codewords(len(langs)).tolist()
+    every = [(o, s) for o in lang_id.ORDERS for s in range(lang_id.SLOTS)]
+    bits, scale, trust = [], [], []
+    for bit in range(len(codes[0])):
+        plus, minus = ([k for k, c in zip(langs, codes, strict=True) if c[bit] == sign] for sign in (1, -1))
+        weight = {g: math.log(sum(share(k, g) for k in plus) / len(plus)) - math.log(sum(share(k, g) for k in minus) / len(minus)) for g in every}
+        hoped = [c[bit] * sum(share(k, g) * weight[g] for g in every) for k, c in zip(langs, codes, strict=True)]
+        bits.append(weight)
+        scale.append(1 / max(sum(hoped) / len(hoped), 1e-9))
+        trust.append(max(min(hoped) * scale[-1], 0.05))
+    for text in texts:
+        if text is None or not lang_id.has_letter(text):
+            yield "und", 0.0
+            continue
+        found = list(grams(text))
+        n = len(f" {text} ".lower().encode("utf-8", "replace"))
+        margins = [sum(w[g] for g in found) / n * s for w, s in zip(bits, scale, strict=True)]
+        loss = [sum(t / sum(trust) * math.log1p(math.exp(-2 * max(-4, min(4, c * m)))) for t, c, m in zip(trust, code, margins, strict=True)) for code in codes]
+        best = loss.index(min(loss))
+        yield langs[best], 1 / sum(math.exp(-lang_id.SHARPNESS * (x - min(loss))) for x in loss)
+
+
+def test_against_a_plain_version(spark):
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").collect()]
+    rows = [(d, t and t[:400], k) for d, t, k in rows] + [(-1, None, "en"), (-2, "", None), (-3, "12 !", "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in lang_id.predict(docs, lang_id.fit(docs)).collect()}
+    want = dict(zip((d for d, _, _ in rows), plain(rows, [t for _, t, _ in rows]), strict=True))
+    assert got.keys() == want.keys()
+    for doc, (lang, score) in want.items():
+        assert got[doc][1] == pytest.approx(score, abs=1e-4)
+        assert got[doc][0] == lang or score < 0.51
