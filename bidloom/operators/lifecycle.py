@@ -93,7 +93,7 @@ def latest_comparisons(log: DataFrame) -> DataFrame:
 
 def current_awards(versions: DataFrame) -> DataFrame:
     """The last version of each RFQ's award, as it was stored."""
-    best = versions.groupBy("rfq_id").agg(F.max_by(F.struct("version", "status", "comparison_id", "total"), "version").alias("v"), F.count("*").alias("n_versions"))
+    best = versions.groupBy("rfq_id").agg(F.max_by(F.struct("version", "status", "comparison_id", "total", "awarded_at"), "version").alias("v"), F.count("*").alias("n_versions"))
     return best.select("rfq_id", "v.*", "n_versions")
 
 
@@ -166,3 +166,46 @@ def requisitions(proposal: DataFrame, suppliers: DataFrame) -> DataFrame:
     total = F.sum("line_value").over(Window.partitionBy("rfq_id", "supplier_id")).cast("decimal(18,2)")
     rows = proposal.where("supplier_id IS NOT NULL").withColumn("supplier_total", total).join(suppliers.select("supplier_id", "supplier_name"), "supplier_id")
     return rows.select("rfq_id", "supplier_id", "supplier_name", "quote_id", "rfq_line_id", "requested_quantity", "unit_cost", "line_value", "supplier_total")
+
+
+def erp_export(proposal: DataFrame, rfq_lines: DataFrame, suppliers: DataFrame, rfqs: DataFrame, awards: DataFrame) -> DataFrame:
+    """The flat export's 16 columns, in order, as texts: commas in names become semicolons, a line without supplier is a
+    sentinel row, and what is not known yet (an award not finalised has no date) is empty."""
+    plain = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), ",", ";")
+    none = F.col("supplier_id").isNull()
+    text = lambda c, sentinel: F.when(none, sentinel).otherwise(F.coalesce(F.col(c).cast("string"), F.lit("0")))
+    rows = proposal.join(rfq_lines.select("rfq_id", "rfq_line_id", "sku", "description", "requested_uom"), ["rfq_id", "rfq_line_id"]).join(suppliers.select("supplier_id", "supplier_name"), "supplier_id", "left")
+    rows = rows.join(rfqs.select("rfq_id", "base_currency"), "rfq_id", "left").join(awards.select("rfq_id", "version", "status", "comparison_id", "awarded_at"), "rfq_id", "left")
+    number = F.concat(F.lit("AWD-"), F.col("rfq_id"), F.when(F.col("version").isNotNull(), F.concat(F.lit("-"), F.col("version").cast("string"))).otherwise(""))
+    return rows.select(
+        "rfq_id", "rfq_line_id", plain(F.col("sku")).alias("item_sku"), plain(F.col("description")).alias("item_description"), F.coalesce(F.col("requested_quantity").cast("string"), F.lit("0")).alias("required_qty"),
+        F.coalesce("requested_uom", F.lit("PCS")).alias("required_uom"), F.when(none, "UNALLOCATED").otherwise(plain(F.coalesce("supplier_name", "supplier_id"))).alias("supplier_name"), text("supplier_id", "N/A").alias("supplier_id"), text("quote_id", "N/A").alias("quote_id"),
+        text("requested_quantity", "0").alias("awarded_qty"), text("unit_cost", "0.00").alias("unit_landed_cost"), text("line_value", "0.00").alias("line_total_value"), F.coalesce("base_currency", F.lit("INR")).alias("base_currency"),
+        F.coalesce("comparison_id", F.lit("")).alias("comparison_id"), number.alias("award_id"), F.when(F.col("status") == "FINALIZED", F.date_format("awarded_at", "yyyy-MM-dd")).otherwise("").alias("awarded_at"),
+    )
+
+
+def finalise(gates: DataFrame, awards: DataFrame, acknowledged: DataFrame) -> DataFrame:
+    """What a request to finalise comes to: an award that is finalised already is left alone, errors reject it, open
+    quantities do unless they are acknowledged (rfq_id)."""
+    rows = gates.select("rfq_id", "gate").join(awards.select("rfq_id", "status"), "rfq_id", "left").join(acknowledged.select("rfq_id", F.lit(True).alias("_known")), "rfq_id", "left")
+    out = F.when(F.col("status") == "FINALIZED", "REJECTED_ALREADY_FINALIZED").when(F.col("gate") == "REJECTED", "REJECTED_WITH_ERRORS")
+    return rows.select("rfq_id", out.when((F.col("gate") == "NEEDS_ACKNOWLEDGEMENT") & F.col("_known").isNull(), "REJECTED_UNALLOCATED").otherwise("FINALIZED").alias("outcome"))
+
+
+def repeated_allocations(submitted: DataFrame) -> DataFrame:
+    """Of allocations (rfq_id, rfq_line_id, alloc_no, …) those of a line that an earlier one has: each is an error, where
+    several splits within one allocation are none."""
+    first = F.min("alloc_no").over(Window.partitionBy("rfq_id", "rfq_line_id"))
+    return submitted.withColumn("first", first).where(F.col("alloc_no") > F.col("first")).select("rfq_id", "rfq_line_id", "alloc_no", F.lit("DUPLICATE_LINE").alias("error"))
+
+
+def final_status(matched: DataFrame, units: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
+    """A line's match state: UOM_INCOMPATIBLE where its item's unit can't be reached, else EXACT_MATCH by a code, else its
+    best candidate's state (quote_id, line_index, status), else UNMATCHED. units: (quote_id, line_index, uom_factor)."""
+    rows = matched.join(units.select(*LINE, F.lit(True).alias("_unit"), "uom_factor"), LINE, "left")
+    rows = rows.join(candidates.select(*LINE, F.col("status").alias("_best")), LINE, "left") if candidates is not None else rows.withColumn("_best", F.lit(None).cast("string"))
+    known = F.col("match_method") != "NO_MATCH"
+    bad = (known | (F.coalesce("_best", F.lit("UNMATCHED")) != "UNMATCHED")) & F.col("_unit") & F.col("uom_factor").isNull()
+    state = F.when(F.coalesce(bad, F.lit(False)), "UOM_INCOMPATIBLE").when(known, "EXACT_MATCH").otherwise(F.coalesce("_best", F.lit("UNMATCHED")))
+    return rows.select(*LINE, state.alias("match_state"))

@@ -15,6 +15,8 @@ from bidloom.functions import vocabulary as v
 
 SHEET = ["doc_id", "sheet"]
 TABLE = ["doc_id", "sheet", "table_no"]
+#: Between cells that one pattern is sought in: no pattern of the vocabulary reaches over it.
+APART = "\x01"
 
 
 def filled(cells: Column) -> Column:
@@ -94,10 +96,10 @@ def scored(rows: DataFrame) -> DataFrame:
     before = rows.columns
     rows = rows.withColumn("_has", F.transform(filled(F.col("cells")), low))
     has = F.col("_has")
-    rows = rows.withColumns({"_n": F.size(has), "_numbers": F.size(F.filter(has, t.is_numeric)), "_line": F.array_join(has, " "), "_words": F.filter(has, lambda c: (c != "") & ~t.is_numeric(c))})
+    rows = rows.withColumns({"_n": F.size(has), "_numbers": F.size(F.filter(has, t.is_numeric)), "_line": F.array_join(has, " "), "_words": F.array_join(F.filter(has, lambda c: (c != "") & ~t.is_numeric(c)), APART)})
     # Two header words are beyond a row of one value, and a row of numbers is no header: the roles of others aren't looked for.
     may = (F.col("_n") >= 2) & (F.try_divide("_numbers", "_n") < 0.4)
-    rows = rows.withColumns({f"_{role}": may & _any(F.col("_words"), v.lenient(role)) for role in v.HEADERS})
+    rows = rows.withColumns({f"_{role}": may & F.col("_words").rlike(v.lenient(role)) for role in v.HEADERS})
     found = {role: F.col(f"_{role}") for role in v.HEADERS}
     tier = (v.hits(F.col("_line"), v.TIER_WORDS) >= 2) | F.exists(has, lambda c: c.isin("min qty", "from qty", "tier"))
     named, amount, price = found["description"] | found["part_number"], found["qty"] | found["uom"], found["unit_price"]
@@ -107,12 +109,13 @@ def scored(rows: DataFrame) -> DataFrame:
 
 
 def _any(words: Column, pattern: str) -> Column:
-    return F.exists(words, lambda c: c.rlike(pattern))
+    return F.array_join(words, APART).rlike(pattern)
 
 
 def header_rows(rows: DataFrame) -> DataFrame:
     """Rows that may be a table's header, with their score."""
-    return scored(rows).where("score >= 0.5")
+    # As a generator: a filter would be pushed down to the rows, with the whole score written out in it.
+    return scored(rows).withColumnRenamed("score", "_s").select(*rows.columns, F.explode(F.filter(F.array("_s"), lambda x: x >= 0.5)).alias("score"))
 
 
 def slices(rows: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from bidloom.operators import award, lifecycle, master, matching
+from bidloom.operators import award, commercial, lifecycle, master, matching
 from bidloom.plans.commercial import Tables
 from bidloom.plans.procurement import CODE, gates, proposal
 from bidloom.sources.domain import VIEWS, sql
@@ -26,7 +26,7 @@ VIEWS |= {
         SELECT 'EUR', 'INR', 'MANUAL', 1, cast(91.00 AS decimal(18, 8)), 9000 UNION ALL SELECT 'EUR', 'INR', 'CACHE', 2, cast(92.00 AS decimal(18, 8)), 30 UNION ALL SELECT 'GBP', 'INR', 'MANUAL', 1, cast(0 AS decimal(18, 8)), 1 UNION ALL SELECT 'GBP', 'INR', 'FALLBACK', 9, cast(108.00 AS decimal(18, 8)), 0""",
     "comparison_log": "SELECT 'RFQ-' || (o_orderkey % 1000) AS rfq_id, 'COMP-' || o_orderkey AS comparison_id, o_orderdate AS created_at FROM {orders}",
     "award_versions": """
-        SELECT rfq_id, cast(row_number() OVER (PARTITION BY rfq_id ORDER BY created_at, comparison_id) AS int) AS version, CASE WHEN k % 3 = 0 THEN 'REOPENED' WHEN k % 3 = 1 THEN 'DRAFT' ELSE 'FINALIZED' END AS status, comparison_id, total
+        SELECT rfq_id, cast(row_number() OVER (PARTITION BY rfq_id ORDER BY created_at, comparison_id) AS int) AS version, CASE WHEN k % 3 = 0 THEN 'REOPENED' WHEN k % 3 = 1 THEN 'DRAFT' ELSE 'FINALIZED' END AS status, comparison_id, total, created_at AS awarded_at
         FROM (SELECT 'RFQ-' || (o_orderkey % 1000) AS rfq_id, o_orderkey AS k, 'COMP-' || o_orderkey AS comparison_id, o_orderdate AS created_at, cast(o_totalprice AS decimal(18, 2)) AS total FROM {orders} WHERE o_orderkey % 4 <> 3) x""",
     "requotes": """
         SELECT 'Q-' || (l_partkey ~/ 2) || '-' || l_suppkey AS quote_id, cast(l_partkey % 2 AS int) AS line_index, l_shipdate AS ts, cast(l_orderkey * 8 + l_linenumber AS bigint) AS id, l_partkey + l_suppkey + l_linenumber AS k, cast(cast(l_quantity AS int) AS varchar(20)) AS qty, l_returnflag AS flag
@@ -91,7 +91,7 @@ def fx_resolve(t):
 
 VIEWS |= {
     "o_latest_comparison": "SELECT rfq_id, arg_max(comparison_id, (created_at, comparison_id)) AS comparison_id, max(created_at) AS created_at FROM {comparison_log} GROUP BY 1",
-    "o_awards": "SELECT rfq_id, arg_max(version, version) AS version, arg_max(status, version) AS status, arg_max(comparison_id, version) AS comparison_id, arg_max(total, version) AS total, count(*) AS n_versions FROM {award_versions} GROUP BY 1",
+    "o_awards": "SELECT rfq_id, arg_max(version, version) AS version, arg_max(status, version) AS status, arg_max(comparison_id, version) AS comparison_id, arg_max(total, version) AS total, arg_max(awarded_at, version) AS awarded_at, count(*) AS n_versions FROM {award_versions} GROUP BY 1",
 }
 
 
@@ -164,3 +164,30 @@ def award_summary(t):
 @query("requisitions", "SELECT p.rfq_id, p.supplier_id, supplier_name, quote_id, rfq_line_id, requested_quantity, unit_cost, line_value, (sum(line_value) OVER (PARTITION BY p.rfq_id, p.supplier_id))::DECIMAL(18,2) AS supplier_total FROM {o_propose_optimal} p JOIN {suppliers} s ON s.supplier_id = p.supplier_id")
 def requisitions(t):
     return lifecycle.requisitions(proposal(t), t.suppliers)
+
+
+@query("erp_export", """
+SELECT p.rfq_id, p.rfq_line_id, replace(sku, ',', ';') AS item_sku, replace(description, ',', ';') AS item_description, coalesce(p.requested_quantity::VARCHAR, '0') AS required_qty, coalesce(requested_uom, 'PCS') AS required_uom, CASE WHEN p.supplier_id IS NULL THEN 'UNALLOCATED' ELSE replace(coalesce(supplier_name, p.supplier_id), ',', ';') END AS supplier_name,
+  coalesce(p.supplier_id, 'N/A') AS supplier_id, CASE WHEN p.supplier_id IS NULL THEN 'N/A' ELSE quote_id END AS quote_id, CASE WHEN p.supplier_id IS NULL THEN '0' ELSE coalesce(p.requested_quantity::VARCHAR, '0') END AS awarded_qty, CASE WHEN p.supplier_id IS NULL THEN '0.00' ELSE unit_cost::VARCHAR END AS unit_landed_cost,
+  CASE WHEN p.supplier_id IS NULL THEN '0.00' ELSE line_value::VARCHAR END AS line_total_value, base_currency, coalesce(comparison_id, '') AS comparison_id, 'AWD-' || p.rfq_id || coalesce('-' || version, '') AS award_id, CASE WHEN a.status = 'FINALIZED' THEN strftime(awarded_at, '%Y-%m-%d') ELSE '' END AS awarded_at
+FROM {o_propose_optimal} p JOIN {rfq_lines} r ON r.rfq_line_id = p.rfq_line_id LEFT JOIN {suppliers} s ON s.supplier_id = p.supplier_id LEFT JOIN {rfqs} q ON q.rfq_id = p.rfq_id LEFT JOIN {o_awards} a ON a.rfq_id = p.rfq_id""")
+def erp_export(t):
+    return lifecycle.erp_export(proposal(t), t.rfq_lines, t.suppliers, t.rfqs, lifecycle.current_awards(t.award_versions))
+
+
+@query("finalise_requests", "SELECT g.rfq_id, CASE WHEN status = 'FINALIZED' THEN 'REJECTED_ALREADY_FINALIZED' WHEN gate = 'REJECTED' THEN 'REJECTED_WITH_ERRORS' WHEN gate = 'NEEDS_ACKNOWLEDGEMENT' AND n_lines < 2 THEN 'REJECTED_UNALLOCATED' ELSE 'FINALIZED' END AS outcome FROM {o_gate} g LEFT JOIN {o_awards} a ON a.rfq_id = g.rfq_id LEFT JOIN {rfqs} r ON r.rfq_id = g.rfq_id")
+def finalise_requests(t):
+    return lifecycle.finalise(gates(t), lifecycle.current_awards(t.award_versions), t.rfqs.where("n_lines >= 2"))
+
+
+VIEWS["allocations"] = "SELECT rfq_id, rfq_line_id, 1 AS alloc_no, supplier_id FROM {submitted} UNION ALL SELECT rfq_id, rfq_line_id, 1, 'S-2' FROM {submitted} WHERE length(rfq_line_id) % 2 = 0 UNION ALL SELECT rfq_id, rfq_line_id, 2, supplier_id FROM {submitted} WHERE length(rfq_id) % 2 = 0"
+
+
+@query("repeated_allocations", "SELECT rfq_id, rfq_line_id, alloc_no, 'DUPLICATE_LINE' AS error FROM (SELECT *, min(alloc_no) OVER (PARTITION BY rfq_id, rfq_line_id) AS first FROM {allocations}) WHERE alloc_no > first")
+def repeated_allocations(t):
+    return lifecycle.repeated_allocations(t.allocations)
+
+
+@query("final_match_status", "SELECT e.quote_id, e.line_index, CASE WHEN match_method <> 'NO_MATCH' AND q.quote_id IS NOT NULL AND uom_factor IS NULL THEN 'UOM_INCOMPATIBLE' WHEN match_method <> 'NO_MATCH' THEN 'EXACT_MATCH' ELSE 'UNMATCHED' END AS match_state FROM {o_exact} e LEFT JOIN {o_qty} q ON q.quote_id = e.quote_id AND q.line_index = e.line_index")
+def final_match_status(t):
+    return lifecycle.final_status(matching.exact_match(t.quote_lines, t.item_master), commercial.quoted_quantity(t.matches, t.uom_units))
