@@ -4,6 +4,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from bidloom.sources.stage import stored
+
 
 def lookup_items(items: DataFrame, asked: DataFrame) -> DataFrame:
     """asked (key) with the item whose id or SKU equals the key in any case: two equi-joins, ids first."""
@@ -21,7 +23,12 @@ def upsert_catalog(items: DataFrame, new: DataFrame) -> DataFrame:
     both = known.join(new, "sku", "full")
     old = both.where("internal_item_id IS NOT NULL").select("internal_item_id", "sku", F.coalesce("mpn", "manufacturer_part_number").alias("mpn"), F.coalesce("uom", "stocking_uom").alias("uom"), F.col("canonical_description").alias("description"))
     top = items.agg(F.max("master_pos").alias("top"))
-    fresh = both.where("internal_item_id IS NULL").withColumn("nth", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("pos", "sku"))).crossJoin(F.broadcast(top))
+    # Numbered by ranges of the order, each from where those before it end: no task sees all new items.
+    fresh = stored(both.where("internal_item_id IS NULL").repartitionByRange("pos", "sku").withColumn("part", F.spark_partition_id()), "fresh")
+    before = F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = fresh.groupBy("part").agg(F.count("*").alias("n")).withColumn("start", F.coalesce(before, F.lit(0)))
+    nth = F.row_number().over(Window.partitionBy("part").orderBy("pos", "sku")) + F.col("start")
+    fresh = fresh.join(F.broadcast(starts), "part").withColumn("nth", nth).crossJoin(F.broadcast(top))
     return old.unionByName(fresh.select(F.concat(F.lit("ITEM-"), (F.col("top") + F.col("nth")).cast("string")).alias("internal_item_id"), "sku", "mpn", "uom", "description"))
 
 
@@ -75,7 +82,8 @@ def latest_decisions(log: DataFrame) -> DataFrame:
 
 
 def fingerprints(matches: DataFrame) -> DataFrame:
-    """A content hash of each RFQ's match rows that does not depend on their order."""
+    """A content hash of each RFQ's match rows that does not depend on their order. An RFQ's row hashes are gathered in one
+    array: as many as its quotes have lines."""
     row = F.sha2(F.concat_ws("|", "quote_id", F.col("line_index").cast("string"), "rfq_line_id", "match_status"), 256)
     return matches.groupBy("rfq_id").agg(F.sha2(F.array_join(F.sort_array(F.collect_list(row)), ","), 256).alias("fingerprint"), F.count("*").alias("n_rows"))
 
