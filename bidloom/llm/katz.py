@@ -35,7 +35,7 @@ from bidloom.llm import common, tokens
 MOST_DISCOUNTED = 5
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 #: Characters of texts that make up a batch; keys that a part gets on average.
-BATCH, KEYS = 1 << 24, 1 << 21
+BATCH, KEYS = 1 << 23, 1 << 21
 
 
 def sequences(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
