@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bidloom.sources.stage import CLEANUP, new_path, removed, shared_dir, stored
+
+__all__ = ["CLEANUP", "SPACES", "new_path", "read", "removed", "shared_dir", "stored", "words"]
+
 #: A word is a run of characters other than these: space, tab, line feed, vertical tab, form feed, return.
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -16,50 +17,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="bidloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, which Spark's file system removes when the session's JVM ends."""
-    folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.mkdirs(jpath)
-    fs.deleteOnExit(jpath)
-    return f"{folder}/data"
-
-
-#: Spark removes the shuffle files of a query when it ends; what is written needs them no more.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back: its lineage ends there, so lost executors cost no rework, and the
-    shuffle files that it took are removed."""
-    spark = df.sparkSession
-    path, before = new_path(spark, name), spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def removed(df: DataFrame) -> None:
-    """Removes the files of a DataFrame that ``stored`` gave and that is needed no more."""
-    spark = df.sparkSession
-    for folder in {path.rpartition("/")[0] for path in df.inputFiles()}:
-        jpath = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
-
-
 def words(text: Column) -> Column:
     """The words of a text as an array; none for a null text."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")
