@@ -11,6 +11,9 @@ The words below the cut are found without sorting a source in one task: ranks fa
 are summed, and only the cell that the cut lies in is split again, twice; the documents of the last cell alone are
 ordered. Sources with nothing left are left out. Rows of one doc_id (or of none) have one rank, so they share a cell. A second pass over what is left fills the gap that the first document over the cut leaves.
 
+Tables with a row a source are broadcast where there are no more than ``HELD_SOURCES`` sources, and joined by a shuffle
+beyond that, when no few sources can hold most rows' tasks.
+
 Edge cases: null or blank texts have no words and are taken no times; a null source is a source, last in order; rows
 that repeat a doc_id are documents of their own (the same rank, decided by order of size, then alike); an empty table
 gives an empty result; other columns are ignored.
@@ -29,6 +32,8 @@ CELLS, LEVELS = 1024, 3
 #: Budgets are doubles; sums of words may pass them by this much.
 SLACK = 1e-6
 SEED = "mix-1"
+#: Sources whose rows each task may hold: a few numbers a source.
+HELD_SOURCES = 100_000
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
@@ -78,7 +83,12 @@ def ranked(docs: DataFrame, seed: str = SEED) -> DataFrame:
     return docs.withColumn("rank", rank).drop("share", "inclusion", "u")
 
 
-def prefixes(docs: DataFrame, budgets: DataFrame) -> DataFrame:
+def held(by_source: DataFrame, n_sources: int) -> DataFrame:
+    """A table with a row a source, for a join: broadcast where that is known to be small."""
+    return F.broadcast(by_source) if n_sources <= HELD_SOURCES else by_source
+
+
+def prefixes(docs: DataFrame, budgets: DataFrame, n_sources: int) -> DataFrame:
     """The rows of docs (row, k, doc_id, size, rank) that make up, in each source k, the longest prefix by rank, doc_id
     and size whose sizes add up to budgets (k, left) at most."""
     # Where nothing is left nothing is taken, and all ranks may be one: such a source would be ordered whole.
@@ -86,15 +96,16 @@ def prefixes(docs: DataFrame, budgets: DataFrame) -> DataFrame:
     at, cuts = docs, budgets.withColumn("cut", F.lit(0).cast("long"))
     for level in range(1, LEVELS + 1):
         inside = F.floor(F.col("rank") * float(CELLS ** (level - 1))).cast("long") == F.col("cut")
-        cells = at.join(cuts, "k").where(inside).groupBy("k", F.floor(F.col("rank") * float(CELLS**level)).cast("long").alias("cell"))
+        cells = at.join(held(cuts, n_sources), "k").where(inside).groupBy("k", F.floor(F.col("rank") * float(CELLS**level)).cast("long").alias("cell"))
         cells = cells.agg(F.sum("size").alias("words"), F.max("left").alias("left"))
         cells = cells.withColumn("upto", F.sum("words").over(Window.partitionBy("k").orderBy("cell")))
         over = cells.where(F.col("upto") > F.col("left") + SLACK).groupBy("k").agg(F.min_by(F.struct("cell", F.col("left") - F.col("upto") + F.col("words")), "cell").alias("f"))
         cuts = over.select("k", F.col("f.cell").alias("cut"), F.col("f.col2").alias("left"))
     cell = F.floor(F.col("rank") * float(CELLS**LEVELS)).cast("long")
-    found = docs.join(budgets.select("k"), "k").join(cuts, "k", "left").withColumn("cell", cell)
+    ends = common.stored(budgets.select("k").join(cuts.select("k", "cut", F.col("left").alias("gap")), "k", "left"), "cuts")
+    found = docs.join(held(ends, n_sources), "k").withColumn("cell", cell)
     order = Window.partitionBy("k", "cell").orderBy("rank", "doc_id", "size", "row")
-    last = found.where("cell = cut").withColumn("upto", F.sum("size").over(order)).where(F.col("upto") <= F.col("left") + SLACK)
+    last = found.where("cell = cut").withColumn("upto", F.sum("size").over(order)).where(F.col("upto") <= F.col("gap") + SLACK)
     return found.where("cut IS NULL OR cell < cut").select("row").unionByName(last.select("row"))
 
 
@@ -105,17 +116,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, pa
     means = sources.select(F.col("source").alias("s"), F.round(F.coalesce(F.try_divide("m", "source_size"), F.lit(0.0)), 6).alias("mean_merit"))
     shares = targets(sources.select("source", "source_size"), weights, most)
     shares = common.stored(shares.join(means, F.col("source").eqNullSafe(F.col("s"))).withColumn("k", F.monotonically_increasing_id()).drop("source"), "shares")
-    docs = docs.join(shares, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    n_sources = shares.count()
+    docs = docs.join(held(shares, n_sources), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     docs = common.stored(ranked(docs, seed).withColumn("row", F.monotonically_increasing_id()), "ranked")
     # Documents without words are never worth a pick.
     rest, picked = docs.where("size > 0").select("row", "k", "doc_id", "size", "rank"), None
-    left = docs.groupBy("k").agg(F.max("rest").alias("left"))
+    left = common.stored(docs.groupBy("k").agg(F.max("rest").alias("left")), "left")
     for _ in range(passes):
-        found = common.stored(prefixes(rest, left), "picked")
+        found = common.stored(prefixes(rest, left, n_sources), "picked")
         picked = found if picked is None else picked.unionByName(found)
         used = rest.join(found, "row").groupBy("k").agg(F.sum("size").alias("used"))
-        left = left.join(used, "k", "left").select("k", (F.col("left") - F.coalesce("used", F.lit(0))).alias("left"))
-        rest = rest.join(found, "row", "left_anti").join(left, "k").where(F.col("size") <= F.col("left") + SLACK).drop("left")
+        left = common.stored(left.join(used, "k", "left").select("k", (F.col("left") - F.coalesce("used", F.lit(0))).alias("left")), "left")
+        rest = rest.join(found, "row", "left_anti").join(held(left, n_sources), "k").where(F.col("size") <= F.col("left") + SLACK).drop("left")
     docs = docs.join(picked.withColumn("once", F.lit(1)), "row", "left")
     return docs.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * (F.col("whole") + F.coalesce("once", F.lit(0)))).cast("long").alias("taken"))
 
