@@ -83,12 +83,12 @@ def ranked(docs: DataFrame, seed: str = SEED) -> DataFrame:
     return docs.withColumn("rank", rank).drop("share", "inclusion", "u")
 
 
-def held(by_source: DataFrame, n_sources: int) -> DataFrame:
+def held(by_source: DataFrame, n_sources: int | None) -> DataFrame:
     """A table with a row a source, for a join: broadcast where that is known to be small."""
-    return F.broadcast(by_source) if n_sources <= HELD_SOURCES else by_source
+    return F.broadcast(by_source) if n_sources is not None and n_sources <= HELD_SOURCES else by_source
 
 
-def prefixes(docs: DataFrame, budgets: DataFrame, n_sources: int) -> DataFrame:
+def prefixes(docs: DataFrame, budgets: DataFrame, n_sources: int | None = None) -> DataFrame:
     """The rows of docs (row, k, doc_id, size, rank) that make up, in each source k, the longest prefix by rank, doc_id
     and size whose sizes add up to budgets (k, left) at most."""
     # Where nothing is left nothing is taken, and all ranks may be one: such a source would be ordered whole.
