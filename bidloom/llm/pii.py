@@ -7,8 +7,9 @@ same four parts of a shorter IP, the same token whatever its case, or the part o
 over a text's whole graph. A node becomes a span if it is linked by skip edges to a base span and its label is not
 "other" with a belief of ``BELIEF`` or more, so a text without base spans is left alone.
 
-Weights are fitted by pseudo-likelihood on at most about ``SAMPLE_ROWS`` documents, chosen by a hash of doc_id: base
-spans, degraded copies of them linked by skip edges, and other nodes. Repeats of one token are joined one to the next,
+Weights are fitted by pseudo-likelihood on at most about ``SAMPLE_ROWS`` documents (of more, distinct texts chosen by a
+hash of the text): base spans, degraded copies of them linked by skip edges, and other nodes. Nodes of one label and the
+same features are counted where they are found; the driver gets at most ``FORMS`` kinds of nodes with their numbers. Repeats of one token are joined one to the next,
 so that edges grow with the text. Patterns run in time linear in the text, however long its runs are.
 
 Edge cases: a null text counts as empty and has no spans; offsets are code points, ends exclusive; repeated rows have
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -33,7 +35,9 @@ from bidloom.llm import common
 KINDS = ("email", "ip", "card", "phone")
 OTHER = len(KINDS)
 LABELS = OTHER + 1
-SAMPLE_ROWS, BELIEF, NEAR, ROUNDS = 10_000, 0.9, 40, 25
+SAMPLE_ROWS, FORMS, BELIEF, NEAR = 10_000, 100_000, 0.9, 40
+#: Messages that have not settled after so many rounds are taken as they are.
+ROUNDS = 25
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -190,10 +194,35 @@ def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"label": pa.array(labels, pa.int32()), "x": pa.array(rows, pa.list_(pa.float64()))})
 
 
+class Taken:
+    """Stretches of a text that spans cover."""
+
+    def __init__(self, spans: list[tuple[int, int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, _, b in sorted(spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def free(self, a: int, b: int) -> bool:
+        i = bisect_left(self.starts, b)
+        return i == 0 or self.ends[i - 1] <= a
+
+    def add(self, a: int, b: int) -> None:
+        """Takes a stretch that was free."""
+        i = bisect_left(self.starts, a)
+        self.starts.insert(i, a)
+        self.ends.insert(i, b)
+
+
 class Field:
     """Weights of the node features and of the labels on either side of chain and skip edges."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, steps: int = 300, rate: float = 0.5, ridge: float = 1e-3):
+    def __init__(self, x: np.ndarray, y: np.ndarray, times: np.ndarray, steps: int = 300, rate: float = 0.5, ridge: float = 1e-3):
+        """x: features of kinds of nodes, y: their labels, times: how many nodes are of each kind."""
         self.fitted = len(y) > 0 and bool((y != OTHER).any())
         n = len(features(""))
         weights = np.zeros((n + 2 * LABELS, LABELS))
@@ -202,7 +231,7 @@ class Field:
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(y)), y] -= 1
-            weights -= rate * (x.T @ p / len(y) + ridge * weights)
+            weights -= rate * (x.T @ (p * times[:, None]) / times.sum() + ridge * weights)
         self.node, self.chain, self.skip = weights[:n], *(self.even(weights[n + s : n + s + LABELS]) for s in (0, LABELS))
 
     @staticmethod
@@ -249,13 +278,13 @@ class Field:
             return base
         linked = self.reached(found, skip)
         belief = self.beliefs(text, found, chain, skip)
-        added, taken = [], sorted((a, b) for a, _, b in base)
+        added, taken = [], Taken(base)
         for i in sorted(linked, key=lambda i: (found[i][0] - found[i][2], found[i][0])):
             a, label, b = found[i]
             best = int(belief[i].argmax())
-            if label == OTHER and best != OTHER and belief[i, best] >= BELIEF and all(b <= c or a >= d for c, d in taken):
+            if label == OTHER and best != OTHER and belief[i, best] >= BELIEF and taken.free(a, b):
                 added.append((a, best, b))
-                taken.append((a, b))
+                taken.add(a, b)
         return sorted(base + added)
 
     @staticmethod
@@ -275,16 +304,24 @@ class Field:
         return seen
 
 
-def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Field:
-    """The field fitted on about sample_rows of docs (doc_id, text) at most."""
+def sampled(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The texts of docs, or of more than sample_rows rows about as many distinct texts at most, by a hash of the text."""
     share = sample_rows / max(docs.count(), 1)
-    if share < 1:
-        docs = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    rows = docs.select("text").mapInArrow(examples, "label int, x array<double>").toArrow()
+    texts = docs.select("text").where("text IS NOT NULL")
+    if share >= 1:
+        return texts
+    hashed = texts.withColumn("h", F.xxhash64("text")).where(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30)))
+    return hashed.dropDuplicates(["h"]).drop("h")
+
+
+def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, forms: int = FORMS) -> Field:
+    """The field fitted on about sample_rows of docs (text) at most, and at most forms kinds of nodes, chosen by a hash."""
+    kinds = sampled(docs, sample_rows).mapInArrow(examples, "label int, x array<double>").groupBy("label", "x").agg(F.count("*").alias("n"))
+    rows = kinds.orderBy(F.xxhash64("label", "x"), "label", "x").limit(forms).toArrow()
     x = np.array(rows.column("x").to_pylist(), float).reshape(rows.num_rows, len(features("")) + 2 * LABELS)
-    y = rows.column("label").to_numpy()
+    y, n = rows.column("label").to_numpy(), rows.column("n").to_numpy().astype(float)
     order = np.lexsort((*x.T, y))
-    return Field(x[order], y[order])
+    return Field(x[order], y[order], n[order])
 
 
 def listed(spans: list[tuple[int, int, int]]) -> str:

@@ -104,3 +104,25 @@ def test_short_ips(field):
         _, skip = pii.edges(text, pii.nodes(text, base))
         assert len(base) == 1 and len(skip) == 1
         assert [text[a:b] for a, _, b in field.spans(text, base)] == [ip, ip.replace(".", "-")]
+
+
+def test_sample_is_bounded_whatever_the_ids(spark):
+    mails = "concat('mail a', id % 30000, '@x.org now')"
+    for doc_id in ("cast(null as long)", "id % 3"):
+        docs = spark.range(60_000).selectExpr(f"{doc_id} AS doc_id", f"{mails} AS text")
+        assert 4000 < pii.sampled(docs).count() < 10_500
+    hot = spark.range(60_000).selectExpr("id AS doc_id", "'mail a@x.org now' AS text")
+    assert pii.sampled(hot).count() <= 1
+
+
+def test_fit_takes_no_more_kinds_of_nodes_than_told(spark):
+    docs = spark.range(300).selectExpr("id AS doc_id", "concat('call +49 30 ', 1000000 + id * 7919, ' or x', id, '@y.org') AS text")
+    assert pii.fit(docs, forms=5).fitted in (True, False)
+    assert pii.fit(docs).fitted
+
+
+def test_taken_stretches():
+    taken = pii.Taken([(5, 0, 9), (7, 1, 12), (20, 2, 25)])
+    assert [taken.free(*x) for x in ((0, 5), (0, 6), (12, 20), (11, 13), (24, 30), (25, 26))] == [True, False, True, False, False, True]
+    taken.add(12, 20)
+    assert not taken.free(15, 16)
