@@ -34,8 +34,8 @@ ANCHORS = (
     "al con como del el lo los las no por se su una y"
 ).split()
 CHAIN, DIGITS = 3, 10
-#: Documents come in so many ranges of doc_id at most, of about so many rows at least.
-RANGES, RANGE_ROWS = 1024, 2000
+#: Ranges of doc_id have about so many rows at least, and no more than so many where ranges outnumber the partitions.
+RANGE_ROWS, MOST_ROWS = 2000, 1_000_000
 
 
 def fingerprint(text: Column) -> Column:
@@ -68,18 +68,32 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(union == 0, 1.0).otherwise(both / union)
 
 
+def within(value: Column, bounds: list) -> Column:
+    """How many of the rising bounds value has reached, found in two steps of about the square root of their number."""
+    if not bounds:
+        return F.lit(0)
+    step = math.isqrt(len(bounds) - 1) + 1
+    reached = lambda some: F.size(F.filter(some, lambda b: b <= value))
+    # A block is the last one whose first bound is reached; before the first there is none to look in.
+    blocks = F.lit([bounds[i : i + step] for i in range(0, len(bounds) - step, step)] + [(bounds[(len(bounds) - 1) // step * step :] + [bounds[-1]] * step)[:step]])
+    block = reached(F.lit(bounds[::step]))
+    inside = F.least((block - 1) * step + reached(F.get(blocks, block - 1)), F.lit(len(bounds)))
+    return F.when(block > 0, inside).otherwise(0)
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) with its fingerprint and the next document's text and fingerprint, by ascending doc_id.
 
     Ranges of doc_id between approximate quantiles are ordered each on its own; the first rows of a range are sent to
-    the range before it too. One exchange carries the texts, and the ranges' first ids are RANGES rows at most.
+    the range before it too. One exchange carries the texts; the ranges, whose number follows the documents', have a
+    row each in the table of their first ids.
     """
     n = docs.count()
-    ranges = max(1, min(RANGES, n // RANGE_ROWS))
-    cuts = docs.select(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 10_000).alias("q")).first()["q"] if ranges > 1 else []
-    bounds = sorted(set(cuts or []))
-    inside = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("doc_id"))) if bounds else F.lit(0)
-    docs = docs.withColumn("range", F.when(F.col("doc_id").isNull(), len(bounds)).otherwise(inside))
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(1, min(n // RANGE_ROWS, max(partitions, n // MOST_ROWS)))
+    quantiles = F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], max(10_000, 20 * ranges)) if ranges > 1 else None
+    bounds = sorted(set(docs.select(quantiles.alias("q")).first()["q"] or [])) if ranges > 1 else []
+    docs = docs.withColumn("range", F.when(F.col("doc_id").isNull(), len(bounds)).otherwise(within(F.col("doc_id"), bounds)))
     firsts = docs.groupBy("range").agg(F.min("doc_id").alias("first"))
     by_range = Window.partitionBy(F.lit(0)).orderBy("range")
     last = F.max("range").over(Window.partitionBy(F.lit(0)))
@@ -90,8 +104,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     places = F.when(F.col("doc_id").eqNullSafe(F.col("first")), F.array(here, there)).otherwise(F.array(here))
     docs = docs.select("doc_id", "text", F.inline(places))
     # Dealt out before the fingerprints are made, which then need no exchange.
-    partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), len(bounds) + 1)
-    docs = docs.repartition(partitions, "at").withColumn("set", fingerprint(F.col("text")))
+    docs = docs.repartition(max(partitions, len(bounds) + 1), "at").withColumn("set", fingerprint(F.col("text")))
     order = Window.partitionBy("at").orderBy("tail", F.col("doc_id").asc_nulls_last(), "text")
     return docs.withColumns({"next_text": F.lead("text").over(order), "next_set": F.lead("set").over(order)}).where("tail = 0").drop("tail", "at")
 

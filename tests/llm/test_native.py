@@ -1,5 +1,6 @@
 """Edge cases of the operators whose results DuckDB checks: mixing, quality rules, spot signatures."""
 
+import random
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -94,3 +95,18 @@ def test_sources_without_rest(spark):
     rows = spark.createDataFrame([(1, 0, 7, 0, 0.5), (2, 1, 8, 5, 0.5), (3, 1, 9, 5, 0.7)], "row long, k long, doc_id long, size long, rank double")
     budgets = spark.createDataFrame([(0, 0.0), (1, 5.0)], "k long, left double")
     assert [r.row for r in mixing.prefixes(rows, budgets).collect()] == [2]
+
+
+def test_bounds_are_found_in_blocks(spark):
+    values = spark.range(1010)
+    for n in (1, 2, 3, 7, 16, 17, 101):
+        bounds = sorted(random.Random(n).sample(range(0, 1000, 3), n))
+        got = [r[0] for r in values.select(spotsigs.within(F.col("id"), bounds)).collect()]
+        assert got == [sum(b <= i for b in bounds) for i in range(1010)]
+
+
+def test_sample_of_rules_keeps_the_tasks_of_the_scan(spark):
+    docs = spark.range(6400).selectExpr("cast(id as string) AS text").repartition(64)
+    plan = docs.select("text").sample(0.1, 5).repartition(8)._jdf.queryExecution().toString()
+    assert "Coalesce" not in plan
+    assert quality_rules.ordered(docs, quality_rules.RULES)
