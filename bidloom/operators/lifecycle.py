@@ -104,26 +104,25 @@ def outdated_awards(awards: DataFrame, comparisons: DataFrame) -> DataFrame:
     return awards.join(last, "rfq_id", "left").select("rfq_id", "version", "status", newer.alias("has_newer_comparison"))
 
 
-CORRECTABLE = {"quoted_qty": "decimal(18,4)", "unit_price": "decimal(18,4)", "quoted_uom": "string"}
-
-
-def apply_corrections(lines: DataFrame, corrections: DataFrame) -> DataFrame:
+def apply_corrections(lines: DataFrame, corrections: DataFrame, fixed: tuple[str, ...] = ("rfq_id", "supplier_id", "item_key")) -> DataFrame:
     """lines with each field's last correction (quote_id, line_index, field_name, corrected_value, corrected_at, id) in place
-    of what was extracted, and how many fields that were; corrections of lines that are gone are dropped, and so are values
-    that are none of the field's type."""
-    last = corrections.groupBy(*LINE).agg(*[F.max_by("corrected_value", F.when(F.col("field_name") == f, F.struct("corrected_at", "id"))).alias(f"_{f}") for f in CORRECTABLE])
-    out = lines.join(last, LINE, "left")
-    value = {f: F.col(f"_{f}").try_cast(kind) for f, kind in CORRECTABLE.items()}
-    return out.withColumns({f: F.coalesce(x, F.col(f)).cast(CORRECTABLE[f]) for f, x in value.items()} | {"n_corrected": sum((x.isNotNull().cast("int") for x in value.values()), F.lit(0))}).drop(*[f"_{f}" for f in CORRECTABLE])
-
-
-def lock_decisions(matched: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Match states with people's last decision (quote_id, line_index, ts, id, action): ACCEPT and REJECT hold against any
-    new match, REOPEN leaves the automatic one."""
-    last = decisions.groupBy(*LINE).agg(F.max_by("action", F.struct("ts", "id")).alias("action"))
-    action = F.col("action")
-    state = F.when(action == "ACCEPT", "ACCEPTED").when(action == "REJECT", "UNMATCHED").otherwise(F.col("match_status"))
-    return matched.join(last, LINE, "left").select(*LINE, state.alias("match_status"), F.coalesce(action.isin("ACCEPT", "REJECT"), F.lit(False)).alias("is_locked"))
+    of what was extracted, and how many fields that were.
+
+    Every column but the line's key and those in fixed is a field. A correction to null empties it; values that are none of
+    the field's type, fields that lines don't have and corrections of lines that are gone are dropped.
+    """
+    fields = [c for c in lines.columns if c not in (*LINE, *fixed)]
+    last = corrections.where(F.col("field_name").isin(*fields)).groupBy(*LINE, "field_name").agg(F.max_by(F.struct("corrected_value"), F.struct("corrected_at", "id")).alias("v"))
+    by_line = last.groupBy(*LINE).agg(F.map_from_entries(F.collect_list(F.struct("field_name", "v.corrected_value"))).alias("_new"))
+    out = lines.join(by_line, LINE, "left")
+    counts, columns = [], {}
+    for f in fields:
+        kind, raw = lines.schema[f].dataType.simpleString(), F.try_element_at("_new", F.lit(f))
+        value = raw.try_cast(kind)
+        taken = F.coalesce(F.map_contains_key("_new", F.lit(f)), F.lit(False)) & (raw.isNull() | value.isNotNull())
+        columns[f] = F.when(taken, value).otherwise(F.col(f)).cast(kind)
+        counts.append(taken.cast("int"))
+    return out.withColumns(columns | {"n_corrected": sum(counts[1:], counts[0])}).drop("_new")
 
 
 def workspace(rfqs: DataFrame, stages: DataFrame, coverage: DataFrame) -> DataFrame:

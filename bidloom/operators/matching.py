@@ -11,6 +11,8 @@ from pyspark.sql.window import Window
 from bidloom.functions import text
 
 HIGH, REVIEW, MARGIN = 0.88, 0.70, 0.08
+#: What each signal counts in a score; a score is capped where specifications conflict.
+TOKEN_SORT, JACCARD, SPEC, BRAND, CONFLICT_CAP = 0.40, 0.25, 0.20, 0.15, 0.65
 
 
 def item_codes(items: DataFrame) -> DataFrame:
@@ -70,15 +72,15 @@ def signals(pairs: DataFrame, quoted: str, known: str, brand: str) -> DataFrame:
     covers = (F.size(F.array_except("_qs", "_cs")) == 0) | (F.size(F.array_except("_cs", "_qs")) == 0)
     partly = F.forall("_qs", lambda a: F.exists("_cs", lambda b: a.contains(b) | b.contains(a)))
     spec = F.when((F.size("_qs") == 0) | (F.size("_cs") == 0), 0.5).when(covers, 1.0).when(partly, 0.85).otherwise(0.0)
-    named = F.lower(F.col(quoted)).contains(F.lower(F.col(brand)))
+    named = (F.col(brand) != "") & F.lower(F.col(quoted)).contains(F.lower(F.col(brand)))
     return out.withColumns({"jaccard": jaccard, "spec_score": spec, "brand_score": F.when(named, 1.0).otherwise(0.5)}).drop("_q", "_c", "_qs", "_cs")
 
 
 def composite(scored: DataFrame, quoted: str, known: str) -> DataFrame:
     """scored with token_sort and the weighted score, capped where specifications conflict."""
     out = scored.withColumn("token_sort", indel_ratio(sorted_tokens(F.col(quoted)), sorted_tokens(F.col(known))))
-    score = 0.40 * F.col("token_sort") + 0.25 * F.col("jaccard") + 0.20 * F.col("spec_score") + 0.15 * F.col("brand_score")
-    return out.withColumn("score", F.round(F.when(F.col("spec_score") == 0.0, F.least(score, F.lit(0.65))).otherwise(score), 3))
+    score = TOKEN_SORT * F.col("token_sort") + JACCARD * F.col("jaccard") + SPEC * F.col("spec_score") + BRAND * F.col("brand_score")
+    return out.withColumn("score", F.round(F.when(F.col("spec_score") == 0.0, F.least(score, F.lit(CONFLICT_CAP))).otherwise(score), 3))
 
 
 def top_candidates(scored: DataFrame, by: list[str], order: str, k: int = 5) -> DataFrame:
@@ -88,27 +90,3 @@ def top_candidates(scored: DataFrame, by: list[str], order: str, k: int = 5) ->
     close = (F.col("place") == 1) & (F.col("score") >= REVIEW) & (F.round(F.col("score") - F.col("next_score"), 3) < MARGIN)
     status = F.when(close, "REVIEW_REQUIRED").when(F.col("score") >= HIGH, "HIGH_CONFIDENCE_MATCH").when(F.col("score") >= REVIEW, "REVIEW_REQUIRED").otherwise("UNMATCHED")
     return out.withColumn("ambiguous", F.coalesce(close, F.lit(False))).withColumn("status", F.coalesce(status, F.lit("UNMATCHED"))).drop("next_score")
-
-
-def line_candidates(matched: DataFrame, items: DataFrame, k: int = 5) -> DataFrame:
-    """The k best active items of each line that no code matched: (quote_id, line_index, internal_item_id, score, place,
-    ambiguous, status), ties in master order.
-
-    Every pair counts, as no word need be shared for a score that bears on the status. What is scored are pairs of
-    distinct descriptions in lower case (a score does not depend on case) and distinct descriptions and brands of items,
-    so work grows with the product of these two numbers. A null description is an empty one. matched: as ``exact_match``
-    gives it.
-    """
-    lines = matched.where("match_method = 'NO_MATCH'").select("quote_id", "line_index", F.lower(F.coalesce("raw_description", F.lit(""))).alias("quoted"))
-    first = Window.partitionBy("known", "brand").orderBy("master_pos", "internal_item_id")
-    named = items.where("status = 'ACTIVE'").select(F.coalesce("canonical_description", F.lit("")).alias("known"), "brand", "master_pos", "internal_item_id")
-    # Of items that score alike, k are enough.
-    known = named.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= k).groupBy("known", "brand").agg(F.sort_array(F.collect_list(F.struct("master_pos", "internal_item_id"))).alias("items"))
-    # Dealt out anew, as few and small partitions would leave the pairs to a few tasks.
-    parts = 2 * items.sparkSession.sparkContext.defaultParallelism
-    pairs = known.repartition(parts).crossJoin(lines.select("quoted").distinct())
-    scored = composite(signals(pairs, "quoted", "known", "brand"), "quoted", "known").select("quoted", "score", "items")
-    # The k best items are among those of the k best descriptions, each by its first item.
-    best = scored.withColumn("nth", F.row_number().over(Window.partitionBy("quoted").orderBy(F.desc("score"), "items"))).where(F.col("nth") <= k)
-    best = best.select("quoted", "score", F.inline("items")).withColumn("order", F.struct("master_pos", "internal_item_id"))
-    return lines.join(top_candidates(best, ["quoted"], "order", k), "quoted").select("quote_id", "line_index", "internal_item_id", "score", "place", "ambiguous", "status")

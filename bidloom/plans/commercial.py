@@ -1,12 +1,13 @@
 """Queries from units to ranking, and their DuckDB SQL."""
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bidloom.functions import text
-from bidloom.operators import commercial, finance, ranking, uom
+from bidloom.operators import candidates, commercial, finance, matching, ranking, uom
 from bidloom.sources.domain import VIEWS, sql, table, uses
 from bidloom.sources.stage import stored
 
@@ -152,10 +153,26 @@ class Tables:
     def issues(self) -> DataFrame:
         return finance.quote_issues(self.checked_quotes, self.checked_lines, text.STANDARD_UNITS)
 
-    def prices(self, method: str = "NONE") -> DataFrame:
+    def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """What make gives, written when it is first asked for and read from then on."""
+        if name not in self.built:
+            self.built[name] = stored(make(), name)
+        return self.built[name]
+
+    def fresh_prices(self, method: str = "NONE") -> DataFrame:
         allocated = None if method == "NONE" else commercial.allocate_charges(self.matches, self.rfq_lines, self.charges, method)
         return commercial.line_prices(self.matches, self.price_tiers, self.quotes, self.fx_rates, self.uom_units, allocated)
 
+    def prices(self, method: str = "NONE") -> DataFrame:
+        """Line prices for readers that go on from them, more than one as a rule."""
+        return self.once(f"prices_{method}", lambda: self.fresh_prices(method))
+
+    def exact(self) -> DataFrame:
+        return matching.exact_match(self.quote_lines, self.item_master)
+
+    def candidates(self) -> DataFrame:
+        return candidates.line_candidates(self.exact(), self.item_master)
+
     def supplier_totals(self) -> DataFrame:
         return commercial.supplier_totals(self.prices(), self.quotes, self.rfqs, self.charges, self.fx_rates)
 
@@ -248,12 +265,12 @@ PRICE = "quote_id, line_index, rfq_line_id, supplier_id, unit_price_quoted, net_
 
 @query("line_prices", f"SELECT {PRICE}, array_to_string(issues, ',') AS issues FROM {{o_prices}}")
 def line_prices(spark, sf_dir):
-    return Tables(spark, sf_dir).prices().select(*PRICE.split(", "), F.array_join("issues", ",").alias("issues"))
+    return Tables(spark, sf_dir).fresh_prices().select(*PRICE.split(", "), F.array_join("issues", ",").alias("issues"))
 
 
 @query("line_prices_allocated", f"SELECT {PRICE} FROM {{o_prices_value}}")
 def line_prices_allocated(spark, sf_dir):
-    return Tables(spark, sf_dir).prices("PROPORTIONAL_LINE_VALUE").select(*PRICE.split(", "))
+    return Tables(spark, sf_dir).fresh_prices("PROPORTIONAL_LINE_VALUE").select(*PRICE.split(", "))
 
 
 @query("allocate_by_quantity", "SELECT * FROM {o_alloc_qty}")
@@ -276,7 +293,7 @@ def allocate_none(spark, sf_dir):
 
 @query("price_issues", "SELECT rfq_id, rfq_line_id, supplier_id, code, CASE WHEN code = 'REVIEW_REQUIRED_ITEM' THEN 'WARNING' ELSE 'BLOCKING' END AS severity FROM (SELECT rfq_id, rfq_line_id, supplier_id, unnest(list_concat(issues, CASE WHEN is_provisional THEN ['REVIEW_REQUIRED_ITEM'] ELSE [] END)) AS code FROM {o_prices})")
 def price_issues(spark, sf_dir):
-    return commercial.price_issues(Tables(spark, sf_dir).prices())
+    return commercial.price_issues(Tables(spark, sf_dir).fresh_prices())
 
 
 VIEWS["o_matrix"] = """
@@ -287,13 +304,13 @@ FROM {rfq_lines} r JOIN (SELECT DISTINCT rfq_id, supplier_id FROM {quotes}) q ON
 @query("comparison_matrix", "SELECT * FROM {o_matrix}")
 def comparison_matrix(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return commercial.comparison_matrix(t.rfq_lines, t.quotes, t.prices())
+    return commercial.comparison_matrix(t.rfq_lines, t.quotes, t.fresh_prices())
 
 
 @query("line_summary", "SELECT rfq_id, rfq_line_id, coalesce(string_agg(supplier_id, ',' ORDER BY supplier_id) FILTER (WHERE cell = 'COMPARABLE'), '') AS comparable, coalesce(string_agg(supplier_id, ',' ORDER BY supplier_id) FILTER (WHERE cell = 'PROVISIONAL'), '') AS provisional, count(*) FILTER (WHERE cell = 'INCOMPLETE_QUOTE') AS n_gaps FROM {o_matrix} GROUP BY rfq_id, rfq_line_id")
 def line_summary(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return commercial.line_summary(commercial.comparison_matrix(t.rfq_lines, t.quotes, t.prices()))
+    return commercial.line_summary(commercial.comparison_matrix(t.rfq_lines, t.quotes, t.fresh_prices()))
 
 
 TOTALS = "rfq_id, supplier_id, quote_id, matched_items, comparable_items, rfq_items, net_base, tax_base, charges_net_base, charges_tax_base, charges_quoted, fully_comparable, is_incomplete, total_base"
@@ -324,7 +341,7 @@ def participants(spark, sf_dir):
 @query("matrix_pivot", "SELECT rfq_line_id, max(line_total_base) FILTER (WHERE supplier_id = 'S-0') AS s0, max(line_total_base) FILTER (WHERE supplier_id = 'S-1') AS s1, max(line_total_base) FILTER (WHERE supplier_id = 'S-2') AS s2 FROM {o_matrix} GROUP BY rfq_line_id")
 def matrix_pivot(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    wide = commercial.comparison_matrix(t.rfq_lines, t.quotes, t.prices()).groupBy("rfq_line_id").pivot("supplier_id", ["S-0", "S-1", "S-2"]).agg(F.max("line_total_base"))
+    wide = commercial.comparison_matrix(t.rfq_lines, t.quotes, t.fresh_prices()).groupBy("rfq_line_id").pivot("supplier_id", ["S-0", "S-1", "S-2"]).agg(F.max("line_total_base"))
     return wide.select("rfq_line_id", *[F.col(f"`S-{i}`").alias(f"s{i}") for i in range(3)])
 
 

@@ -29,10 +29,15 @@ VIEWS |= {
         SELECT rfq_id, cast(row_number() OVER (PARTITION BY rfq_id ORDER BY created_at, comparison_id) AS int) AS version, CASE WHEN k % 3 = 0 THEN 'REOPENED' WHEN k % 3 = 1 THEN 'DRAFT' ELSE 'FINALIZED' END AS status, comparison_id, total, created_at AS awarded_at
         FROM (SELECT 'RFQ-' || (o_orderkey % 1000) AS rfq_id, o_orderkey AS k, 'COMP-' || o_orderkey AS comparison_id, o_orderdate AS created_at, cast(o_totalprice AS decimal(18, 2)) AS total FROM {orders} WHERE o_orderkey % 4 <> 3) x""",
     "requotes": """
-        SELECT 'Q-' || (l_partkey ~/ 2) || '-' || l_suppkey AS quote_id, cast(l_partkey % 2 AS int) AS line_index, l_shipdate AS ts, cast(l_orderkey * 8 + l_linenumber AS bigint) AS id, l_partkey + l_suppkey + l_linenumber AS k, cast(cast(l_quantity AS int) AS varchar(20)) AS qty, l_returnflag AS flag
+        SELECT 'Q-' || (l_partkey ~/ 2) || '-' || l_suppkey AS quote_id, cast(l_partkey % 2 AS int) AS line_index, l_shipdate AS ts, cast(l_orderkey * 8 + l_linenumber AS bigint) AS id, l_partkey + l_suppkey + l_linenumber AS k, cast(cast(l_quantity AS int) AS varchar(20)) AS qty, l_returnflag AS flag, l_partkey AS part
         FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_suppkey, l_partkey ORDER BY l_shipdate, l_quantity, l_returnflag) AS nth FROM {lineitem}) x WHERE nth = 1""",
-    "corrections": "SELECT quote_id, line_index, ts AS corrected_at, id, CASE k % 4 WHEN 0 THEN 'quoted_qty' WHEN 1 THEN 'unit_price' WHEN 2 THEN 'quoted_uom' ELSE 'note' END AS field_name, CASE WHEN k % 4 = 2 THEN 'SET' WHEN k % 9 = 0 THEN 'many' ELSE qty END AS corrected_value FROM {requotes} WHERE k % 2 = 0 OR k % 5 = 0",
-    "line_decisions": "SELECT quote_id, line_index, ts, id, CASE flag WHEN 'A' THEN 'ACCEPT' WHEN 'R' THEN 'REJECT' ELSE 'REOPEN' END AS action FROM {requotes} WHERE k % 3 = 0",
+    "corrections": """
+        SELECT quote_id, line_index, ts AS corrected_at, id, CASE k % 7 WHEN 0 THEN 'quoted_qty' WHEN 1 THEN 'unit_price' WHEN 2 THEN 'quoted_uom' WHEN 3 THEN 'lead_time_days' WHEN 4 THEN 'raw_description' WHEN 5 THEN 'discount_pct' ELSE 'note' END AS field_name,
+               CASE WHEN k % 11 = 0 THEN NULL WHEN k % 7 = 2 THEN 'SET' WHEN k % 7 = 4 THEN 'corrected ' || qty WHEN k % 9 = 0 THEN 'many' ELSE qty END AS corrected_value FROM {requotes} WHERE k % 2 = 0 OR k % 5 = 0""",
+    "line_decisions": """
+        SELECT quote_id, line_index, ts, id, CASE flag WHEN 'A' THEN CASE WHEN k % 4 = 0 THEN 'CHOOSE' ELSE 'ACCEPT' END WHEN 'R' THEN 'REJECT' ELSE 'REOPEN' END AS action,
+               CASE WHEN flag = 'A' AND k % 5 = 0 THEN 'no such item' WHEN flag = 'A' AND k % 5 <> 1 THEN lower(internal_sku) END AS chosen_sku
+        FROM {requotes} LEFT JOIN {item_master} ON master_pos = part + k % 2 WHERE k % 3 = 0""",
     "o_rfq_states": "SELECT r.rfq_id, CASE WHEN action IN ('ARCHIVE', 'DELETE') THEN 'ARCHIVED' WHEN action = 'CANCEL' THEN 'CANCELLED' ELSE 'ACTIVE' END AS state, coalesce(n, 0)::BIGINT AS n_events FROM {rfqs} r LEFT JOIN (SELECT rfq_id, arg_max(action, (ts, id)) AS action, count(*) AS n FROM {rfq_events} GROUP BY 1) e ON e.rfq_id = r.rfq_id",
 }
 
@@ -79,7 +84,7 @@ h AS (SELECT r.rfq_id, r.rfq_line_id, e.quote_id, CASE WHEN e.rfq_line_id = r.rf
 SELECT rfq_id, rfq_line_id, quote_id, line_index, rank AS matched_by FROM h QUALIFY row_number() OVER (PARTITION BY rfq_id, rfq_line_id, quote_id ORDER BY rank, line_index) = 1""")
 def line_for_rfq(t):
     lines = t.matches.where("item_key % 3 <> 1").select("quote_id", "line_index", "rfq_line_id")
-    return lifecycle.line_for_rfq(matching.exact_match(t.quote_lines, t.item_master).join(lines, ["quote_id", "line_index"], "left"), t.rfq_lines)
+    return lifecycle.line_for_rfq(t.exact().join(lines, ["quote_id", "line_index"], "left"), t.rfq_lines)
 
 
 @query("fx_resolve", """
@@ -110,22 +115,18 @@ def newer_comparison(t):
     return lifecycle.outdated_awards(lifecycle.current_awards(t.award_versions), lifecycle.latest_comparisons(t.comparison_log))
 
 
-LAST = ", ".join(f"arg_max(corrected_value, (corrected_at, id)) FILTER (WHERE field_name = '{f}') AS n_{f}" for f in lifecycle.CORRECTABLE)
+#: Fields that the corrections of this fixture name, and their types.
+CORRECTED = {"quoted_qty": "DECIMAL(18,4)", "unit_price": "DECIMAL(18,4)", "quoted_uom": "VARCHAR", "lead_time_days": "INTEGER", "raw_description": "VARCHAR", "discount_pct": "DECIMAL(9,4)"}
+LAST = ", ".join(f"arg_max({{'v': corrected_value}}, (corrected_at, id)) FILTER (WHERE field_name = '{f}') AS n_{f}" for f in CORRECTED)
+TAKEN = {f: f"(n_{f} IS NOT NULL AND (n_{f}.v IS NULL OR try_cast(n_{f}.v AS {kind}) IS NOT NULL))" for f, kind in CORRECTED.items()}
+NOW = ", ".join(f"(CASE WHEN {TAKEN[f]} THEN try_cast(n_{f}.v AS {kind}) ELSE {f} END)::{kind} AS {f}" for f, kind in CORRECTED.items())
 
 
 @query("apply_corrections", f"""
-SELECT q.quote_id, q.line_index, coalesce(try_cast(n_quoted_qty AS DECIMAL(18,4)), quoted_qty)::DECIMAL(18,4) AS quoted_qty, coalesce(try_cast(n_unit_price AS DECIMAL(18,4)), unit_price)::DECIMAL(18,4) AS unit_price, coalesce(n_quoted_uom, quoted_uom) AS quoted_uom,
-((try_cast(n_quoted_qty AS DECIMAL(18,4)) IS NOT NULL)::INT + (try_cast(n_unit_price AS DECIMAL(18,4)) IS NOT NULL)::INT + (n_quoted_uom IS NOT NULL)::INT)::INT AS n_corrected
+SELECT q.quote_id, q.line_index, {NOW}, tax_rate_pct, ({" + ".join(f"{x}::INT" for x in TAKEN.values())})::INT AS n_corrected
 FROM {{quote_lines}} q LEFT JOIN (SELECT quote_id, line_index, {LAST} FROM {{corrections}} GROUP BY 1, 2) c ON c.quote_id = q.quote_id AND c.line_index = q.line_index""")
 def apply_corrections(t):
-    return lifecycle.apply_corrections(t.quote_lines, t.corrections).select("quote_id", "line_index", "quoted_qty", "unit_price", "quoted_uom", "n_corrected")
-
-
-@query("lock_decisions", """
-SELECT q.quote_id, q.line_index, CASE action WHEN 'ACCEPT' THEN 'ACCEPTED' WHEN 'REJECT' THEN 'UNMATCHED' ELSE match_status END AS match_status, coalesce(action IN ('ACCEPT', 'REJECT'), false) AS is_locked
-FROM {quote_lines} q LEFT JOIN (SELECT quote_id, line_index, arg_max(action, (ts, id)) AS action FROM {line_decisions} GROUP BY 1, 2) d ON d.quote_id = q.quote_id AND d.line_index = q.line_index""")
-def lock_decisions(t):
-    return lifecycle.lock_decisions(t.quote_lines, t.line_decisions)
+    return lifecycle.apply_corrections(t.quote_lines, t.corrections).select("quote_id", "line_index", *CORRECTED, "tax_rate_pct", "n_corrected")
 
 
 def stages(t):
@@ -190,4 +191,4 @@ def repeated_allocations(t):
 
 @query("final_match_status", "SELECT e.quote_id, e.line_index, CASE WHEN match_method <> 'NO_MATCH' AND q.quote_id IS NOT NULL AND uom_factor IS NULL THEN 'UOM_INCOMPATIBLE' WHEN match_method <> 'NO_MATCH' THEN 'EXACT_MATCH' ELSE 'UNMATCHED' END AS match_state FROM {o_exact} e LEFT JOIN {o_qty} q ON q.quote_id = e.quote_id AND q.line_index = e.line_index")
 def final_match_status(t):
-    return lifecycle.final_status(matching.exact_match(t.quote_lines, t.item_master), commercial.quoted_quantity(t.matches, t.uom_units))
+    return lifecycle.final_status(t.exact(), commercial.quoted_quantity(t.matches, t.uom_units))

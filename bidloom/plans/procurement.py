@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from bidloom.functions import text
 from bidloom.operators import award, master, matching
 from bidloom.plans.commercial import Tables
 from bidloom.sources.domain import VIEWS, sql
@@ -69,21 +70,21 @@ def proposal(t, scenario="LINE_ITEM_OPTIMAL"):
 
 
 def checked(t):
-    return award.validate(t.submitted, t.rfq_lines, bids(t), t.suppliers)
+    return t.once("checked", lambda: award.validate(t.submitted, t.rfq_lines, bids(t), t.suppliers))
 
 
 def gates(t):
-    return award.finalise_gate(award.allocation_states(checked(t), t.rfq_lines), checked(t))
+    return t.once("gates", lambda: award.finalise_gate(award.allocation_states(checked(t), t.rfq_lines), checked(t)))
 
 
 @query("exact_match", "SELECT quote_id, line_index, matched_item, match_method FROM {o_exact}")
 def exact_match(t):
-    return matching.exact_match(t.quote_lines, t.item_master).select("quote_id", "line_index", "matched_item", "match_method")
+    return t.exact().select("quote_id", "line_index", "matched_item", "match_method")
 
 
 @query("bind_rfq_line", f"SELECT e.quote_id, e.line_index, arg_min(r.rfq_line_id, (r.line_pos, r.rfq_line_id)) AS rfq_line_id FROM {{o_exact}} e JOIN {{rfq_lines}} r ON r.rfq_id = e.rfq_id AND (r.internal_item_id = e.matched_item OR {CODE.format('r.sku')} = e.code) GROUP BY 1, 2")
 def bind_rfq_line(t):
-    return matching.bind_rfq_line(matching.exact_match(t.quote_lines, t.item_master), t.rfq_lines)
+    return matching.bind_rfq_line(t.exact(), t.rfq_lines)
 
 
 TOKENS = r"list_distinct(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+'))"
@@ -129,13 +130,31 @@ def top_candidates(t):
     return matching.top_candidates(matching.composite(name_pairs(t), "quoted", "known").select("quoted", "known", "score"), ["quoted"], "known")
 
 
-def line_candidates(spark, sf_dir):
-    t = Tables(spark, sf_dir)
-    return matching.line_candidates(matching.exact_match(t.quote_lines, t.item_master), t.item_master)
-
-
-# Without SQL: a table of common subsequences for each pair is too much for it. tests/test_line_candidates.py has a plain version.
-QUERIES["line_candidates"] = line_candidates
+SPECS = text.SPECS.replace("'", "''")
+VIEWS["o_texts"] = f"""
+SELECT *, array_to_string(list_sort(list_filter(string_split(t, ' '), lambda x: x <> '')), ' ') AS line, list_distinct(regexp_extract_all(t, '[\\p{{L}}\\p{{N}}_]+')) AS words, list_distinct(regexp_extract_all(t, '{SPECS}')) AS specs
+FROM (SELECT DISTINCT lower(raw_description) AS t, NULL AS brand FROM {{o_exact}} WHERE match_method = 'NO_MATCH' UNION ALL SELECT DISTINCT lower(canonical_description), brand FROM {{item_master}} WHERE status = 'ACTIVE')"""
+# Common subsequences with a bit for each character of the quoted text.
+VIEWS["o_subsequences"] = """
+SELECT q.t AS quoted, c.t AS known, c.brand, length(q.line) - bit_count(list_reduce(list_transform(string_split(c.line, ''), lambda x: coalesce(q.masks[x], 0::HUGEINT)), lambda r, m: ((r + (r & m)) | (r - (r & m))) & q.every, q.every)) AS common,
+       length(q.line) + length(c.line) AS chars, len(list_intersect(q.words, c.words)) AS shared, len(q.words) + len(c.words) AS n_words, q.specs AS qs, c.specs AS cs, contains(q.t, lower(c.brand)) AS named
+FROM (SELECT t, any_value(line) AS line, any_value(words) AS words, any_value(specs) AS specs, map_from_entries(list((x, mask))) AS masks, ((1::HUGEINT << length(any_value(line))) - 1) AS every
+      FROM (SELECT t, line, words, specs, x, bit_or(1::HUGEINT << (i - 1)) AS mask FROM (SELECT *, unnest(string_split(line, '')) AS x, unnest(range(1, length(line) + 1)) AS i FROM {o_texts} WHERE brand IS NULL) GROUP BY ALL) GROUP BY t) q,
+     (SELECT * FROM {o_texts} WHERE brand IS NOT NULL) c"""
+VIEWS["o_close_texts"] = """
+SELECT quoted, known, brand, round(CASE WHEN spec = 0 THEN least(score, 0.65) ELSE score END, 3) AS score FROM (
+SELECT *, 0.40::DOUBLE * (2 * common / chars::DOUBLE) + 0.25::DOUBLE * (shared / (n_words - shared)::DOUBLE) + 0.20::DOUBLE * spec + 0.15::DOUBLE * CASE WHEN named THEN 1.0 ELSE 0.5 END AS score FROM (
+SELECT *, CASE WHEN len(qs) = 0 OR len(cs) = 0 THEN 0.5 WHEN list_has_all(qs, cs) OR list_has_all(cs, qs) THEN 1.0 WHEN len(list_filter(qs, lambda a: len(list_filter(cs, lambda b: contains(a, b) OR contains(b, a))) = 0)) = 0 THEN 0.85 ELSE 0.0 END::DOUBLE AS spec FROM {o_subsequences}))"""
+VIEWS["o_line_candidates"] = """
+SELECT quote_id, line_index, internal_item_id, score, place, coalesce(amb, false) AS ambiguous, CASE WHEN amb THEN 'REVIEW_REQUIRED' WHEN score >= 0.88 THEN 'HIGH_CONFIDENCE_MATCH' WHEN score >= 0.70 THEN 'REVIEW_REQUIRED' ELSE 'UNMATCHED' END AS status
+FROM (SELECT *, place = 1 AND score >= 0.70 AND round(score - nxt, 3) < 0.08 AS amb FROM (
+  SELECT quoted, internal_item_id, score, row_number() OVER w AS place, lead(score) OVER w AS nxt FROM {o_close_texts} c JOIN {item_master} i ON lower(i.canonical_description) = c.known AND i.brand = c.brand AND i.status = 'ACTIVE'
+  WHERE score >= 0.62 WINDOW w AS (PARTITION BY quoted ORDER BY score DESC, master_pos, internal_item_id))) x JOIN {o_exact} e ON lower(e.raw_description) = x.quoted AND e.match_method = 'NO_MATCH' WHERE place <= 5"""
+
+
+@query("line_candidates", "SELECT * FROM {o_line_candidates}")
+def line_candidates(t):
+    return t.candidates()
 
 
 @query("award_bids", "SELECT * FROM {o_bids}")
@@ -160,7 +179,7 @@ def proposal_totals(t):
 
 @query("validate_allocations", "SELECT * FROM {o_checked}")
 def validate(t):
-    return checked(t)
+    return award.validate(t.submitted, t.rfq_lines, bids(t), t.suppliers)
 
 
 @query("allocation_states", "SELECT * FROM {o_states}")

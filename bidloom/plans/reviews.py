@@ -28,7 +28,7 @@ SELECT quote_id, CASE WHEN item_key % 13 = 0 THEN line_index + 50 ELSE line_inde
 SELECT quote_id, line_index, 'MATCH_REVIEW_REQUIRED' AS code, 'MEDIUM' AS severity FROM {o_prices} WHERE is_provisional UNION ALL SELECT quote_id, line_index, 'UOM_INCOMPATIBLE', 'HIGH' FROM {o_prices} WHERE uom_factor IS NULL
 UNION ALL SELECT quote_id, line_index, 'UNMATCHED_ITEM', 'HIGH' FROM {o_exact} WHERE matched_item IS NULL UNION ALL SELECT quote_id, NULL, 'FINANCIAL_DISCREPANCY', 'HIGH' FROM {o_reconciled} WHERE status = 'DISCREPANCY'""")
 def review_issues(t):
-    return review.review_issues(t.prices(), matching.exact_match(t.quote_lines, t.item_master), t.reconciled())
+    return review.review_issues(t.prices(), t.exact(), t.reconciled())
 
 
 @query("quote_listing", "SELECT q.quote_id, q.rfq_id, supplier_name, currency, q.n_lines, coalesce(quote_total, 0)::DECIMAL(18,2) AS quote_total, coalesce(coverage_pct, 0.0)::DOUBLE AS coverage_pct, coalesce(state, 'PENDING') AS state FROM {quotes} q LEFT JOIN {o_totals} t ON t.quote_id = q.quote_id LEFT JOIN {o_coverage} c ON c.quote_id = q.quote_id")

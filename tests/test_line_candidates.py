@@ -1,8 +1,12 @@
-"""Unmatched quote lines against the item master, held against a plain version that scores every pair."""
+"""Unmatched quote lines against the item master, held against versions that score every pair."""
 
+import random
 import re
 
-from bidloom.operators import matching
+import pytest
+from pyspark.sql import functions as F
+
+from bidloom.operators import candidates, matching
 
 
 def ratio(a, b):
@@ -28,12 +32,46 @@ def test_every_pair(spark):
     lines = [("Q1", 0, "K 1", "red steel valve"), ("Q1", 1, "none", "RED steel valve acme"), ("Q2", 0, "none", "red steel valve Acme"), ("Q2", 1, None, "copperpipejoints zeta"), ("Q3", 0, "K3", "blue clamp"), ("Q3", 1, "", None)]
     master = spark.createDataFrame(items, "internal_item_id string, master_pos long, internal_sku string, manufacturer_part_number string, supplier_part_number string, canonical_description string, brand string, status string")
     quoted = spark.createDataFrame(lines, "quote_id string, line_index int, part_number string, raw_description string")
-    got = {(r.quote_id, r.line_index, r.place): r for r in matching.line_candidates(matching.exact_match(quoted, master), master).collect()}
-    assert {k[:2] for k in got} == {("Q1", 1), ("Q2", 0), ("Q2", 1), ("Q3", 0), ("Q3", 1)} and len(got) == 25
+    got = {(r.quote_id, r.line_index, r.place): r for r in candidates.line_candidates(matching.exact_match(quoted, master), master).collect()}
+    expected = {}
     for q, i, _, text in lines[1:5]:
         best = sorted((-score(text, x[5], x[6]), x[1], x[0]) for x in items if x[7] == "ACTIVE")
-        for n, (s, _, item) in enumerate(best[:5], 1):
-            row = got[q, i, n]
-            assert (row.internal_item_id, row.score) == (item, -s)
         close = -best[0][0] >= 0.70 and round(best[1][0] - best[0][0], 3) < 0.08
-        assert got[q, i, 1].ambiguous == close
+        expected |= {(q, i, n): (item, -s, close and n == 1) for n, (s, _, item) in enumerate(best[:5], 1) if -s >= candidates.LEAST}
+    assert len(expected) >= 12
+    assert {k: (r.internal_item_id, r.score, r.ambiguous) for k, r in got.items()} == expected
+
+
+WORDS = "valve hose clamp steel brass copper fitting pipe joint m8x40mm m8 40mm 24v grade a ss304 stainless 10.5mm x dn50 inlet".split()
+
+
+def some_texts(seed):
+    """Texts of few words, and copies of them with other characters and brands."""
+    rng = random.Random(seed)
+    known = [(i, " ".join(rng.choice(WORDS) for _ in range(rng.randint(0, 6))), rng.choice(["", "acme", "A", "Bosch GmbH", "zz"])) for i in range(220)]
+    quoted = set()
+    for _ in range(160):
+        letters = list(rng.choice(known)[1])
+        for _ in range(rng.randint(0, 4) if letters else 0):
+            letters[rng.randrange(len(letters))] = rng.choice("abcxyz18 ")
+        quoted.add("".join(letters).lower() + rng.choice(["", " acme", " bosch gmbh x"]))
+    return list(enumerate(sorted(quoted))), known
+
+
+@pytest.mark.parametrize("least", [0.62, 0.75])
+def test_the_join_finds_what_all_pairs_hold(spark, least):
+    quoted, known = some_texts(int(least * 100))
+    quoted, known = spark.createDataFrame(quoted, "id long, text string"), spark.createDataFrame(known, "id long, text string, brand string")
+    every = quoted.select(F.col("id").alias("q"), F.col("text").alias("quoted")).crossJoin(known.select(F.col("id").alias("c"), F.col("text").alias("known"), "brand"))
+    every = matching.composite(matching.signals(every, "quoted", "known", "brand"), "quoted", "known").where(F.col("score") >= least).select("q", "c", "score")
+    found = candidates.scored(quoted, known, least)
+    want = {tuple(r) for r in every.collect()}
+    assert len(want) > 20 and {tuple(r) for r in found.collect()} == want
+    plan = found._jdf.queryExecution().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_scores_too_low_to_look_up_are_refused(spark):
+    some = spark.createDataFrame([(1, "a", "")], "id long, text string, brand string")
+    with pytest.raises(ValueError):
+        candidates.scored(some.drop("brand"), some, 0.5)
