@@ -74,10 +74,49 @@ VIEWS |= {
 }
 
 
-@query("precision_recall", """
-WITH p AS (SELECT f.doc_id, f.line_index AS i, t.line_index AS j FROM {found_lines} f JOIN {truth_lines} t ON t.doc_id = f.doc_id AND (contains(lower(f.raw_description), lower(t.raw_description)) OR contains(lower(t.raw_description), lower(f.raw_description)))),
-h AS (SELECT doc_id, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, i ORDER BY abs(i - j), j) AS x, row_number() OVER (PARTITION BY doc_id, j ORDER BY abs(i - j), i) AS y FROM p) WHERE x = 1 AND y = 1 GROUP BY 1)
+def greedy(found: str, truth: str) -> str:
+    """Turns of a document's true lines, one after the other, in SQL; lines are numbered by line_index and description."""
+    return f"""
+WITH RECURSIVE f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_index, raw_description) AS spot FROM {{{found}}}), t AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_index, raw_description) AS turn FROM {{{truth}}}),
+p AS (SELECT f.doc_id, turn, list_sort(list(spot)) AS options FROM f JOIN t ON t.doc_id = f.doc_id AND (contains(lower(f.raw_description), lower(t.raw_description)) OR contains(lower(t.raw_description), lower(f.raw_description))) GROUP BY 1, 2),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY turn) AS nth FROM p),
+g AS (SELECT DISTINCT doc_id, 0::BIGINT AS nth, []::BIGINT[] AS taken, NULL::BIGINT AS turn, NULL::BIGINT AS pick FROM n
+  UNION ALL SELECT doc_id, nth, CASE WHEN pick IS NULL THEN taken ELSE list_append(taken, pick) END, turn, pick FROM (SELECT n.doc_id, n.nth, taken, n.turn, list_filter(n.options, lambda o: NOT list_contains(taken, o))[1] AS pick FROM g JOIN n ON n.doc_id = g.doc_id AND n.nth = g.nth + 1))
+SELECT g.doc_id, t.line_index, f.line_index AS found_index FROM g JOIN t ON t.doc_id = g.doc_id AND t.turn = g.turn JOIN f ON f.doc_id = g.doc_id AND f.spot = g.pick"""
+
+
+@query("precision_recall", f"""
 SELECT doc_id, n_found, n_there, n_true, coalesce(round(100.0 * n_true / nullif(n_found, 0), 2), 0)::DOUBLE AS precision_pct, coalesce(round(100.0 * n_true / nullif(n_there, 0), 2), 0)::DOUBLE AS recall_pct
-FROM (SELECT doc_id, coalesce(a, 0)::BIGINT AS n_found, coalesce(b, 0)::BIGINT AS n_there, coalesce(n, 0)::BIGINT AS n_true FROM (SELECT doc_id, count(*) AS a FROM {found_lines} GROUP BY 1) FULL JOIN (SELECT doc_id, count(*) AS b FROM {truth_lines} GROUP BY 1) USING (doc_id) LEFT JOIN h USING (doc_id))""")
+FROM (SELECT doc_id, coalesce(a, 0)::BIGINT AS n_found, coalesce(b, 0)::BIGINT AS n_there, coalesce(n, 0)::BIGINT AS n_true FROM (SELECT doc_id, count(*) AS a FROM {{found_lines}} GROUP BY 1) FULL JOIN (SELECT doc_id, count(*) AS b FROM {{truth_lines}} GROUP BY 1) USING (doc_id)
+LEFT JOIN (SELECT doc_id, count(*) AS n FROM ({greedy("found_lines", "truth_lines")}) GROUP BY 1) USING (doc_id))""")
 def precision_recall(t):
     return accuracy.precision_recall(t.found_lines, t.truth_lines)
+
+
+FIELDS = ("qty", "uom", "price", "disc", "tax")
+VIEWS |= {
+    "eval_lines": """
+        SELECT 'D-' || (l_orderkey ~/ 2) AS doc_id, cast(row_number() OVER (PARTITION BY l_orderkey ~/ 2 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS bigint) AS line_index, l_partkey AS k, p_name, p_type, cast(l_quantity AS bigint) AS qty,
+               CASE WHEN l_partkey % 2 = 0 THEN 'PCS' ELSE 'KG' END AS uom, cast(l_extendedprice AS decimal(18, 2)) AS price, cast(l_discount AS decimal(9, 4)) AS disc, cast(l_tax AS decimal(9, 4)) AS tax FROM {lineitem} JOIN {part} ON l_partkey = p_partkey""",
+    "eval_found": "SELECT doc_id, line_index, p_name || ' ' || p_type AS raw_description, qty, uom, price, disc, tax FROM {eval_lines} WHERE k % 17 <> 0",
+    "eval_truth": """
+        SELECT doc_id, line_index, CASE line_index % 3 WHEN 0 THEN split_part(p_type, ' ', 1) WHEN 1 THEN upper(p_name) ELSE p_name || ' ' || p_type || ' in boxes' END AS raw_description, CASE WHEN k % 10 = 0 THEN qty + 1 ELSE qty END AS qty,
+               CASE WHEN k % 7 = 0 THEN 'SET' ELSE uom END AS uom, price, disc, CASE WHEN k % 19 = 0 THEN NULL ELSE tax END AS tax FROM {eval_lines} WHERE k % 13 <> 0""",
+    "eval_states": """
+        SELECT DISTINCT doc_id, CASE length(doc_id) % 3 WHEN 0 THEN 'REVIEW_REQUIRED' WHEN 1 THEN 'RECONCILED' ELSE 'DISCREPANCY' END AS expected,
+               CASE WHEN doc_id LIKE '%7' THEN 'REVIEW_REQUIRED' WHEN length(doc_id) % 3 = 0 THEN 'REVIEW_REQUIRED' WHEN length(doc_id) % 3 = 1 THEN 'RECONCILED' ELSE 'DISCREPANCY' END AS actual FROM {eval_lines}""",
+}
+VIEWS["o_hits"] = greedy("eval_found", "eval_truth")
+
+
+@query("greedy_matches", "SELECT * FROM {o_hits}")
+def greedy_matches(t):
+    return accuracy.greedy_matches(t.eval_found, t.eval_truth)
+
+
+@query("evaluation_report", f"""
+SELECT n_documents, n_found, n_there, n_true, n_found - n_true AS n_false, {", ".join(f"coalesce(round(100.0 * {a} / nullif({b}, 0), 2), 100)::DOUBLE AS {k}_pct" for k, a, b in (("precision", "n_true", "n_found"), ("recall", "n_true", "n_there"), *((f, f + "_right", "n_true") for f in FIELDS), ("reconciliation", "ok", "n_documents"), ("review", "review", "n_documents")))}
+FROM (SELECT count(*) AS n_found FROM {{eval_found}}), (SELECT count(*) AS n_there FROM {{eval_truth}}), (SELECT count(*) AS n_documents, count(*) FILTER (expected = actual) AS ok, count(*) FILTER (actual = 'REVIEW_REQUIRED') AS review FROM {{eval_states}}),
+     (SELECT count(*) AS n_true, {", ".join(f"count(*) FILTER (f.{x} IS NOT DISTINCT FROM t.{x}) AS {x}_right" for x in FIELDS)} FROM {{o_hits}} h JOIN {{eval_found}} f ON f.doc_id = h.doc_id AND f.line_index = h.found_index JOIN {{eval_truth}} t ON t.doc_id = h.doc_id AND t.line_index = h.line_index)""")
+def evaluation_report(t):
+    return accuracy.evaluation_report(accuracy.evaluated(t.eval_found, t.eval_truth, FIELDS), t.eval_states, FIELDS)
