@@ -45,6 +45,20 @@ UOM = "trim(lower(raw_uom))"
 scalar("norm_uom", lambda: {"uom": t.norm_uom(C("raw_uom"))}, f"CASE WHEN coalesce(raw_uom, '') = '' THEN 'PCS' ELSE coalesce({_case(f'''rtrim({UOM}, '.')''', t.UOM_CODES)}, {_case(UOM, t.UOM_CODES)}, upper(trim(raw_uom))) END AS uom")
 scalar("norm_currency", lambda: {"currency": t.norm_currency(C("raw_currency"))}, f"CASE WHEN coalesce(raw_currency, '') = '' THEN 'INR' ELSE coalesce({_case('lower(trim(raw_currency))', t.CURRENCIES)}, CASE WHEN length(raw_currency) = 3 THEN upper(trim(raw_currency)) END, 'INR') END AS currency")
 scalar("flex_date", lambda: {"day": t.flex_date(C("raw_date"))}, "coalesce(try_strptime(raw_date, '%Y-%m-%d'), try_strptime(raw_date, '%d/%m/%Y'), try_strptime(raw_date, '%d.%m.%Y'))::DATE AS day")
+VIEWS["date_cells"] = """
+SELECT quote_id, line_index, y, m, d, k, CASE k WHEN 0 THEN y || '-' || m || '-' || d WHEN 1 THEN d || '/' || m || '/' || y WHEN 2 THEN d || '-' || m || '-' || yy WHEN 3 THEN d || '.' || m || '.' || y WHEN 4 THEN d || ' ' || name || ' ' || y
+  WHEN 5 THEN substr(name, 1, 3) || ' ' || d || ', ' || y WHEN 6 THEN d || '-' || substr(name, 1, 3) || '-' || yy WHEN 7 THEN y || '-' || mm || '-' || dd || ' 00:00:00' WHEN 8 THEN d || 'th of ' || lower(name) || ' ' || y WHEN 9 THEN y || mm || dd
+  WHEN 10 THEN 'Mon, ' || d || ' ' || upper(name) || ' ' || y WHEN 11 THEN y || '/' || m || '/' || d WHEN 12 THEN 'within a month' WHEN 13 THEN '32/13/' || y WHEN 14 THEN y || '-' || mm || '-' || dd || 'T10:30:05Z' WHEN 15 THEN '  ' || name || ' ' || d || ' ' || y || ' ' ELSE m || ' ' || d || ' ' || y END AS raw
+FROM (SELECT *, lpad(cast(m AS varchar(2)), 2, '0') AS mm, lpad(cast(d AS varchar(2)), 2, '0') AS dd, lpad(cast(y % 100 AS varchar(2)), 2, '0') AS yy, split_part('January,February,March,April,May,June,July,August,September,October,November,December', ',', m) AS name
+  FROM (SELECT quote_id, line_index, item_key % 17 AS k, cast(2000 + item_key % 40 AS int) AS y, cast(1 + item_key % 12 AS int) AS m, cast(1 + item_key % 28 AS int) AS d FROM {quote_lines}) a) b"""
+
+
+def free_dates(spark, sf_dir):
+    return table(spark, sf_dir, "date_cells").select("quote_id", "line_index", "raw", t.flex_date(C("raw")).alias("day"))
+
+
+# The dates that the texts were made from; two kinds are none.
+QUERIES["free_dates"], ORACLE["free_dates"] = free_dates, sql("SELECT quote_id, line_index, raw, CASE WHEN k NOT IN (12, 13) THEN make_date(y, m, d) END AS day FROM {date_cells}")
 TAX = r"""coalesce(nullif(regexp_extract({x}, '(?i)(?:gst|tax|igst|cgst\+sgst)[\s#.:/-]*(\d+(?:\.\d+)?)%', 1), ''), CASE WHEN regexp_matches(lower({x}), 'gst|tax') THEN nullif(regexp_extract({x}, '(\d+(?:\.\d+)?)%', 1), '') END, '0')::DECIMAL(9,4)"""
 scalar("tax_rate", lambda: {"terms_rate": t.tax_rate(C("terms")), "charge_rate": t.tax_rate(C("charge_text"))}, f"{TAX.format(x='terms')} AS terms_rate, {TAX.format(x='charge_text')} AS charge_rate")
 scalar("norm_code", lambda: {"code": t.norm_code(C("part_number"))}, "CASE WHEN part_number <> '' THEN regexp_replace(upper(part_number), '[^A-Z0-9]', '', 'g') END AS code")
