@@ -152,7 +152,7 @@ def text_charges(blocks: DataFrame) -> DataFrame:
     rows = blocks.withColumns({"parts": parts, "line": F.array_join("cells", "\t")}).select("doc_id", "sheet", "row_no", "line", "parts", F.posexplode("parts").alias("nth", "part"))
     kind = v.charge_of(F.col("part"))
     after = lambda n: t.norm_decimal(F.try_element_at("parts", F.col("nth") + 1 + n))
-    near = F.coalesce(*(F.when(kind == k, F.nullif(F.regexp_extract("line", rf"(?i)\b(?:{w})[\s#.:/-]*₹?\s*(\d+(?:\.\d+)?)", 1), F.lit(""))) for k, w in v.CHARGES.items())).cast("decimal(18,4)")
+    near = F.coalesce(*(F.when(kind == k, F.nullif(F.regexp_extract("line", rf"(?i)\b(?:{'|'.join(w)})[\s#.:/-]*₹?\s*(\d+(?:\.\d+)?)", 1), F.lit(""))) for k, w in v.CHARGES.items())).cast("decimal(18,4)")
     amount = F.when(after(1) > 0, after(1)).otherwise(near)
     tax = F.when((after(2) > 0) & (after(2) <= 40), after(2)).otherwise(t.tax_rate(F.col("line")).cast("decimal(18,4)"))
     rows = rows.withColumns({"source": F.lit(1), "charge_type": kind, "amount": amount, "tax_rate_pct": tax}).where("charge_type IS NOT NULL AND amount > 0")

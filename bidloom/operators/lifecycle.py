@@ -51,14 +51,17 @@ def name_history(suppliers: DataFrame, renames: DataFrame) -> DataFrame:
 
 def effective_master(items: DataFrame, rfq_lines: DataFrame) -> DataFrame:
     """Active items, and for each RFQ a record of its own (``rfq_id``) for every line whose SKU or item the master doesn't
-    have: a line counts if its SKU is unknown and the first of its kind in the RFQ, or its item is."""
+    have: a line counts if its SKU is unknown and the first of its kind in the RFQ, or its item is. A line without SKU or item
+    goes by its own id; a SKU without letters and digits is no SKU."""
     active = items.where("status = 'ACTIVE'")
+    named = F.coalesce(F.nullif("sku", F.lit("")), "rfq_line_id")
+    rfq_lines = rfq_lines.withColumns({"sku": named, "internal_item_id": F.coalesce("internal_item_id", "rfq_line_id")})
     code = text.norm_code(F.col("sku"))
     known = active.select(text.norm_code(F.col("internal_sku")).alias("code")).distinct().withColumn("has_code", F.lit(True))
     ids = active.select("internal_item_id").distinct().withColumn("has_id", F.lit(True))
     rows = rfq_lines.withColumn("code", code).join(known, "code", "left").join(ids, "internal_item_id", "left")
     first = lambda c: F.row_number().over(Window.partitionBy("rfq_id", c).orderBy("line_pos", "rfq_line_id")) == 1
-    new = (F.col("has_code").isNull() & first("code")) | (F.col("has_id").isNull() & first("internal_item_id"))
+    new = ((F.col("code") != "") & F.col("has_code").isNull() & first("code")) | (F.col("has_id").isNull() & first("internal_item_id"))
     own = rows.withColumn("new", new).where("new").select("rfq_id", "internal_item_id", F.col("sku").alias("internal_sku"), F.col("description").alias("canonical_description"))
     return active.select(F.lit(None).cast("string").alias("rfq_id"), "internal_item_id", "internal_sku", "canonical_description").unionByName(own)
 

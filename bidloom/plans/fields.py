@@ -154,7 +154,7 @@ def resolve_currency(s):
 
 
 def charge(x: str) -> str:
-    return "CASE " + " ".join(f"WHEN regexp_matches(lower({x}), {q(rf'{chr(92)}b(?:{w}){chr(92)}b')}) THEN '{k}'" for k, w in v.CHARGES.items()) + " END"
+    return "CASE " + " ".join(f"WHEN regexp_matches(lower({x}), {q(rf'{chr(92)}b(?:{"|".join(w)}){chr(92)}b')}) THEN '{k}'" for k, w in v.CHARGES.items()) + " END"
 
 
 def last_head(pattern: str, unless: str = "") -> str:
@@ -162,7 +162,7 @@ def last_head(pattern: str, unless: str = "") -> str:
     return f"list_max(list_filter(range(1, len(h) + 1), lambda i: regexp_matches(lower(h[i]), '{pattern}'){no}))"
 
 
-NEAR = "CASE kind " + " ".join(rf"WHEN '{k}' THEN regexp_extract(line, {q(rf'(?i)\b(?:{w})[\s#.:/-]*₹?\s*(\d+(?:\.\d+)?)')}, 1)" for k, w in v.CHARGES.items()) + " END"
+NEAR = "CASE kind " + " ".join(rf"WHEN '{k}' THEN regexp_extract(line, {q(rf'(?i)\b(?:{"|".join(w)})[\s#.:/-]*₹?\s*(\d+(?:\.\d+)?)')}, 1)" for k, w in v.CHARGES.items()) + " END"
 VIEWS |= {
     "o_heads": "SELECT doc_id, sheet, table_no, cells AS h FROM {o_slices} WHERE kind = 'HEADER'",
     "o_table_charges": f"""

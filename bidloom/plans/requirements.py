@@ -32,7 +32,7 @@ VIEWS |= {
                CASE WHEN l_partkey % 7 = 0 THEN 'n/a' ELSE 'kg' END AS uom, CASE WHEN l_partkey % 6 = 0 THEN 'ITEM-' || p_partkey ELSE '' END AS internal_item_id
         FROM {lineitem} JOIN {part} ON p_partkey = l_partkey""",
 }
-STEPS = " ".join(f"WHEN regexp_matches(' ' || said || ' ', ' (?:{w}) ') AND {r} IS NULL THEN '{r}'" for r, w in requirements.ALIASES.items())
+STEPS = " ".join(f"WHEN regexp_matches(' ' || said || ' ', ' (?:{"|".join(w)}) ') AND {r} IS NULL THEN '{r}'" for r, w in requirements.ALIASES.items())
 ROLES = list(requirements.ALIASES)
 VIEWS |= {
     "o_catalog_heads": "SELECT doc_id, max(cells) FILTER (WHERE row_no = 0) AS headers, count(*) FILTER (WHERE row_no > 0) AS n_rows FROM {catalog_rows} GROUP BY 1",
@@ -62,7 +62,7 @@ def said(role: str) -> str:
     return f"CASE WHEN lower({cell(role)}) NOT IN ('', 'none') THEN {cell(role)} END"
 
 
-CODES = "CASE upper({x}) " + " ".join(f"WHEN '{n}' THEN '{c}'" for c, names in t.CATALOG_UNITS.items() for n in names.split()) + " ELSE upper({x}) END"
+CODES = "CASE upper({x}) " + " ".join(f"WHEN '{n}' THEN '{c}'" for c, names in t.CATALOG_UNITS.items() for n in names) + " ELSE upper({x}) END"
 VIEWS["o_catalog_items"] = f"""
 SELECT *, sum(n_warnings) OVER (PARTITION BY doc_id) AS lost FROM (SELECT *, (no_code::INT + (nth > 1)::INT + (named IS NULL)::INT + (uom IS NOT NULL AND unit IS NULL)::INT + (qty IS NOT NULL AND amount IS NULL)::INT)::INT AS n_warnings
 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, code ORDER BY row_no) AS nth FROM (SELECT *, upper(coalesce({said("sku")}, {said("mpn")}, 'SKU-' || lpad(item_no::VARCHAR, 3, '0'))) AS code, {said("sku")} IS NULL AND {said("mpn")} IS NULL AS no_code, {said("words")} AS named, {said("mpn")} AS part, {said("brand")} AS make,

@@ -66,14 +66,14 @@ scalar("norm_desc", lambda: {"description": t.norm_desc(F.concat(F.lit("Stainles
 SPEC_SQL = t.SPECS.replace("'", "''")
 scalar("spec_tokens", lambda: {"specs": F.array_join(F.sort_array(t.spec_tokens(F.concat(C("raw_description"), F.lit(" m8x40mm 12v grade a2 "), C("item_key").cast("string"), F.lit("kg")))), ",")}, f"array_to_string(list_sort(list_distinct(regexp_extract_all(lower(raw_description || ' m8x40mm 12v grade a2 ' || item_key || 'kg'), '{SPEC_SQL}'))), ',') AS specs")
 scalar("word_tokens", lambda: {"tokens": F.array_join(F.sort_array(t.word_tokens(F.lower("raw_description"))), ",")}, r"array_to_string(list_sort(list_distinct(regexp_extract_all(lower(raw_description), '[\p{L}\p{N}_]+'))), ',') AS tokens")
-CAT = {n: c for c, names in t.CATALOG_UNITS.items() for n in names.split()}
+CAT = {n: c for c, names in t.CATALOG_UNITS.items() for n in names}
 scalar("catalog_uom", lambda: {"uom": t.catalog_uom(C("raw_uom"))}, f"CASE WHEN upper(trim(raw_uom)) IN ('', 'NONE', 'NULL', 'N/A', 'NA', '-', '—') THEN NULL ELSE coalesce({_case('upper(trim(raw_uom))', CAT)}, upper(trim(raw_uom))) END AS uom")
 scalar("value_type", lambda: {"price_type": t.value_type(C("raw_price")), "date_type": t.value_type(C("raw_date")), "part_type": t.value_type(C("part_number"))}, ", ".join(
     rf"CASE WHEN coalesce(trim({c}), '') = '' THEN 'EMPTY' WHEN regexp_matches(regexp_replace({c}, '[₹$€,\s%]', '', 'g'), '^[-+]?\d*\.?\d+$') THEN 'NUMERIC' WHEN regexp_matches(trim({c}), '^\d{{1,4}}[-/.]\d{{1,2}}[-/.]\d{{1,4}}$') THEN 'DATE' ELSE 'TEXT' END AS {n}" for c, n in (("raw_price", "price_type"), ("raw_date", "date_type"), ("part_number", "part_type"))))
 scalar("looks_like_identifier", lambda: {"is_id": t.looks_like_identifier(C("part_number")), "is_desc_id": t.looks_like_identifier(C("raw_description"))}, ", ".join(
     rf"length(trim({c})) BETWEEN 2 AND 40 AND ((regexp_matches({c}, '[0-9]') AND regexp_matches({c}, '\p{{L}}')) OR (regexp_matches({c}, '\p{{L}}') AND regexp_matches({c}, '[-_./#]')) OR (regexp_matches({c}, '[0-9]') AND regexp_matches({c}, '[-_./#]'))) AS {n}" for c, n in (("part_number", "is_id"), ("raw_description", "is_desc_id"))))
 scalar("a1_ref", lambda: {"ref": t.a1_ref(C("line_index") + 1, C("item_key") % 18000 + 1)}, "(WITH RECURSIVE r AS (SELECT item_key % 18000 + 1 AS n, '' AS s UNION ALL SELECT (n - 1) // 26, chr((65 + (n - 1) % 26)::INT) || s FROM r WHERE n > 0) SELECT max(s) FILTER (WHERE n = 0) FROM r) || (line_index + 1) AS ref")
-scalar("charge_type", lambda: {"charge": t.charge_type(C("charge_text"))}, "CASE " + " ".join(f"WHEN regexp_matches(lower(charge_text), '{w}') THEN '{k}'" for k, w in t.CHARGES.items()) + " ELSE 'OTHER' END AS charge")
+scalar("charge_type", lambda: {"charge": t.charge_type(C("charge_text"))}, "CASE " + " ".join(f"WHEN regexp_matches(lower(charge_text), '{"|".join(w)}') THEN '{k}'" for k, w in t.CHARGES.items()) + " ELSE 'OTHER' END AS charge")
 scalar("payment_terms", lambda: {"credit_days": t.credit_days(C("terms")), "advance_pct": t.advance_pct(C("terms"))}, r"coalesce(nullif(regexp_extract(terms, '(?i)(\d+)\s*(?:days|days\s*credit|days\s*net)', 1), ''), nullif(regexp_extract(terms, '(?i)\bnet\s*(\d+)\b', 1), ''))::INT AS credit_days, nullif(regexp_extract(terms, '(?i)(\d+)%\s*(?:advance|upfront)', 1), '')::DECIMAL(9,4) AS advance_pct")
 ONE, TWO = r"(?i)(?:delivery|lead\s*time|dispatch)[\s#.:/-]*(\d+)\s*(?:days|weeks|working\s*days)", r"(?i)(\d+)\s*(?:days|weeks)\s*(?:from\s*po|delivery)"
 scalar("delivery_terms", lambda: {"lead_days": t.lead_days(C("terms")), "incoterm": t.incoterm(C("terms"))}, f"""nullif(CASE WHEN regexp_matches(terms, '{ONE}') THEN regexp_extract(terms, '{ONE}', 1) ELSE regexp_extract(terms, '{TWO}', 1) END, '')::INT

@@ -69,22 +69,24 @@ VIEWS = {
         SELECT quote_id, rfq_id, supplier_id, c.charge_no, c.charge_type, cast(c.step * (1 + mod(length(quote_id), 4)) AS decimal(18, 2)) AS amount, cast(18 AS decimal(9, 4)) AS tax_rate_pct
         FROM {quotes}, (SELECT cast(1 AS int) AS charge_no, 'FREIGHT' AS charge_type, 250 AS step UNION ALL SELECT 2, 'PACKING', 75 UNION ALL SELECT 3, 'FREIGHT', 40) c
         WHERE c.charge_no = 1 OR credit_days % 2 = 0""",
-    "uom_units": """
-        SELECT split_part(v, ':', 1) AS unit, split_part(v, ':', 2) AS dimension, cast(nullif(split_part(v, ':', 3), '') AS decimal(18, 6)) AS rate
-        FROM (SELECT explode(split('{UOM}', ',')) AS v) u""",
     "matches": """
         SELECT q.*, r.rfq_line_id, r.requested_quantity, r.requested_uom, r.line_pos, m.stocking_uom, m.box_factor
         FROM {quote_lines} q JOIN {rfq_lines} r ON r.rfq_line_id = 'L-' || q.item_key JOIN {item_master} m ON m.master_pos = q.item_key""",
 }
 
-#: Units, dimensions and rates to the base unit: fixed values.
-UOM = (
-    "MTR:LENGTH:1,M:LENGTH:1,FT:LENGTH:0.3048,FTLT:LENGTH:0.3048,FEET:LENGTH:0.3048,MM:LENGTH:0.001,CM:LENGTH:0.01,INCH:LENGTH:0.0254,IN:LENGTH:0.0254,YARD:LENGTH:0.9144,YMDS:LENGTH:0.9144,"
-    "KG:WEIGHT:1,KGS:WEIGHT:1,G:WEIGHT:0.001,GM:WEIGHT:0.001,GRAMS:WEIGHT:0.001,TON:WEIGHT:1000,MT:WEIGHT:1000,LBS:WEIGHT:0.453592,LB:WEIGHT:0.453592,POUND:WEIGHT:0.453592,"
-    "LTR:VOLUME:1,LITER:VOLUME:1,ML:VOLUME:0.001,CUM:VOLUME:1000,M3:VOLUME:1000,GN:VOLUME:,GALLON:VOLUME:,"
-    "PCS:COUNT:1,PC:COUNT:1,NOS:COUNT:1,NO:COUNT:1,UNIT:COUNT:1,EA:COUNT:1,PEA1:COUNT:,"
-    "PAIR:PACKAGING:2,DOZ:PACKAGING:12,DOZEN:PACKAGING:12,BOX:PACKAGING:,PKT:PACKAGING:,PACK:PACKAGING:,PKG:PACKAGING:,ROLL:PACKAGING:,SET:PACKAGING:"
-)
+#: Units by dimension, and each unit's rate to the base unit; None where it has none.
+UNITS = {
+    "LENGTH": {"MTR": "1", "M": "1", "FT": "0.3048", "FTLT": "0.3048", "FEET": "0.3048", "MM": "0.001", "CM": "0.01", "INCH": "0.0254",
+        "IN": "0.0254", "YARD": "0.9144", "YMDS": "0.9144"},
+    "WEIGHT": {"KG": "1", "KGS": "1", "G": "0.001", "GM": "0.001", "GRAMS": "0.001", "TON": "1000", "MT": "1000", "LBS": "0.453592",
+        "LB": "0.453592", "POUND": "0.453592"},
+    "VOLUME": {"LTR": "1", "LITER": "1", "ML": "0.001", "CUM": "1000", "M3": "1000", "GN": None, "GALLON": None},
+    "COUNT": {"PCS": "1", "PC": "1", "NOS": "1", "NO": "1", "UNIT": "1", "EA": "1", "PEA1": None},
+    "PACKAGING": {"PAIR": "2", "DOZ": "12", "DOZEN": "12", "BOX": None, "PKT": None, "PACK": None, "PKG": None, "ROLL": None, "SET": None},
+}
+#: The same as rows in SQL.
+UNIT_ROWS = " UNION ALL ".join(f"SELECT '{unit}' AS unit, '{dimension}' AS dimension, cast({rate or 'NULL'} AS decimal(18, 6)) AS rate" for dimension, units in UNITS.items() for unit, rate in units.items())
+VIEWS["uom_units"] = UNIT_ROWS
 
 
 def _needed(text: str, found: dict[str, str], given: dict[str, str]) -> None:
@@ -107,7 +109,6 @@ def sql(query: str, sf_dir: str | None = None, given: dict[str, str] | None = No
         text += ", " + query[5:] if query.upper().startswith("WITH ") else " " + query
     else:
         text = query
-    text = text.replace("{UOM}", UOM)
     text = re.sub(r"\{(\w+)\}", lambda m: f"parquet.`{sf_dir}/{m[1]}.parquet`" if sf_dir and m[1] in TABLES else given.get(m[1], m[1]), text)
     if sf_dir:
         return text.replace("~/", "div")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bidloom.functions import text
 from bidloom.operators import award, commercial, finance, master, matching, ranking, uom
-from bidloom.sources.domain import UOM
+from bidloom.sources.domain import UNITS
 
 LINE = "quote_id string, line_index int, quoted_qty decimal(18,4), unit_price decimal(18,4), discount_pct decimal(9,4), tax_rate_pct decimal(9,4)"
 
@@ -41,7 +41,7 @@ def test_tiers(spark, qty, price):
 
 
 def test_units(spark):
-    units = spark.createDataFrame([(u, d, D(r) if r else None) for u, d, r in (x.split(":") for x in UOM.split(","))], "unit string, dimension string, rate decimal(18,6)")
+    units = spark.createDataFrame([(unit, kind, D(rate) if rate else None) for kind, some in UNITS.items() for unit, rate in some.items()], "unit string, dimension string, rate decimal(18,6)")
     asked = [("MTR", "FT"), ("FT", "MTR"), ("KG", "PCS"), ("PAIR", "DOZ"), ("PAIR", "PCS"), ("pcs ", "PCS"), ("BOX", "PCS"), (None, "PCS")]
     rows = spark.createDataFrame([(s, t, {"BOX": D(100)}) for s, t in asked], "s string, t string, f map<string,decimal(18,6)>")
     got = {(r.s, r.t): (r.uom_factor, r.uom_method) for r in uom.with_factor(rows, units, "s", "t", "f").collect()}
