@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from bidloom.operators import decided, lifecycle
+from bidloom.operators import decided, lifecycle, uom
 from bidloom.streaming import facts
 
 LINES = "quote_id string, line_index int, rfq_id string, supplier_id string, quoted_uom string, item string, method string, score double, best_item string, second_score double, uom_ok boolean, state string, reasons array<string>, is_locked boolean, decided string"
@@ -144,3 +144,12 @@ def test_coverage_counts_extra_and_missing_lines(spark):
     none = spark.createDataFrame([], "rfq_id string, status string")
     stages = {r.rfq_id: r.stage for r in decided.display_stage(rfqs, decided.coverage(spark.createDataFrame(lines, LINES), asked, quotes), none, none).collect()}
     assert stages == {"R1": "MATCHING_REVIEW", "R2": "DRAFT", "R3": "OPEN", "R4": "CANCELLED"}
+
+
+def test_factors_of_an_rfq_line_come_before_those_of_its_item(spark, units):
+    rows = spark.createDataFrame([(1, "BOX", "PCS", {"BOX": 10.0}, {"BOX": 12.0}), (2, "box ", "PCS", {"BOX": 10.0}, None), (3, "BOX", "PCS", None, {"KG": 2.0}), (4, "NOS", "PCS", {"NOS": 5.0}, None), (5, "PCS", "PCS", {"PCS": 5.0}, {"PCS": 6.0})],
+                                 "n int, source string, target string, item map<string,double>, rfq map<string,double>")
+    kind = "map<string,decimal(18,6)>"
+    rows = rows.withColumns({"item": F.col("item").cast(kind), "rfq": F.col("rfq").cast(kind)})
+    got = {r.n: (r.uom_factor, r.uom_method) for r in uom.with_factor(rows, units, "source", "target", "item", "rfq").collect()}
+    assert {n: (f and float(f), m) for n, (f, m) in got.items()} == {1: (12.0, "ITEM_MASTER_FACTOR"), 2: (10.0, "ITEM_MASTER_FACTOR"), 3: (None, "INCOMPATIBLE"), 4: (5.0, "ITEM_MASTER_FACTOR"), 5: (1.0, "EXACT_UOM_MATCH")}
