@@ -15,21 +15,35 @@ def lookup_items(items: DataFrame, asked: DataFrame) -> DataFrame:
     return by_id.union(by_sku).groupBy("key").agg(F.min_by("internal_item_id", F.struct("by", "internal_item_id")).alias("internal_item_id"))
 
 
-def upsert_catalog(items: DataFrame, new: DataFrame) -> DataFrame:
-    """Appends new (sku, mpn, uom, description, pos) to items: a known SKU changes MPN and unit only, an unknown one gets the
-    next number; rows without SKU or description are skipped, and of rows with one SKU the last counts."""
-    new = new.where("coalesce(sku, '') <> '' AND coalesce(description, '') <> ''").groupBy("sku").agg(F.max_by(F.struct("mpn", "uom", "description"), "pos").alias("n"), F.min("pos").alias("pos")).select("sku", "n.*", "pos")
-    known = items.select(F.col("internal_sku").alias("sku"), "internal_item_id", "manufacturer_part_number", "stocking_uom", "canonical_description", "master_pos")
+def _numbered(rows: DataFrame, order: list[str], top: DataFrame | None) -> DataFrame:
+    """rows with the next item ids after top (one row), in that order. They are numbered by ranges of the order, each from
+    where those before it end: no task sees all of them."""
+    rows = stored(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "fresh")
+    before = F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = rows.groupBy("part").agg(F.count("*").alias("n")).withColumn("start", F.coalesce(before, F.lit(0)))
+    starts = starts.withColumn("top", F.lit(0)) if top is None else starts.crossJoin(F.broadcast(top))
+    nth = F.row_number().over(Window.partitionBy("part").orderBy(*order)) + F.col("start") + F.coalesce("top", F.lit(0))
+    return rows.join(F.broadcast(starts.drop("n")), "part").withColumn("internal_item_id", F.format_string("ITEM-%03d", nth.cast("bigint")))
+
+
+def upsert_catalog(items: DataFrame, new: DataFrame, mode: str = "append") -> DataFrame:
+    """The catalogue after an import of new (sku, mpn, uom, description, pos); rows without SKU or description are skipped.
+
+    append: a known SKU changes MPN and unit only, where they are given; an unknown one gets the next number, with the
+    description of its first row and the last MPN and unit that are given. replace: the old items go, and every row is one of
+    its own, numbered by pos."""
+    given = lambda c: F.nullif(F.trim(c), F.lit(""))
+    new = new.select(F.upper(given("sku")).alias("sku"), given("mpn").alias("mpn"), F.upper(given("uom")).alias("uom"), given("description").alias("description"), "pos").where("sku IS NOT NULL AND description IS NOT NULL")
+    out, unit = ["internal_item_id", "sku", "mpn", "uom", "description"], F.coalesce("uom", F.lit("PCS")).alias("uom")
+    if mode == "replace":
+        return _numbered(new.select("sku", "mpn", unit, "description", "pos"), ["pos", "sku", "description", "mpn"], None).select(*out)
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("pos", c))).alias(c)
+    new = new.groupBy("sku").agg(last("mpn"), last("uom"), F.min(F.struct("pos", "description")).alias("first")).select("sku", "mpn", "uom", "first.*")
+    known = items.select(F.col("internal_sku").alias("sku"), "internal_item_id", "manufacturer_part_number", "stocking_uom", "canonical_description")
     both = known.join(new, "sku", "full")
     old = both.where("internal_item_id IS NOT NULL").select("internal_item_id", "sku", F.coalesce("mpn", "manufacturer_part_number").alias("mpn"), F.coalesce("uom", "stocking_uom").alias("uom"), F.col("canonical_description").alias("description"))
-    top = items.agg(F.max("master_pos").alias("top"))
-    # Numbered by ranges of the order, each from where those before it end: no task sees all new items.
-    fresh = stored(both.where("internal_item_id IS NULL").repartitionByRange("pos", "sku").withColumn("part", F.spark_partition_id()), "fresh")
-    before = F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    starts = fresh.groupBy("part").agg(F.count("*").alias("n")).withColumn("start", F.coalesce(before, F.lit(0)))
-    nth = F.row_number().over(Window.partitionBy("part").orderBy("pos", "sku")) + F.col("start")
-    fresh = fresh.join(F.broadcast(starts), "part").withColumn("nth", nth).crossJoin(F.broadcast(top))
-    return old.unionByName(fresh.select(F.concat(F.lit("ITEM-"), (F.col("top") + F.col("nth")).cast("string")).alias("internal_item_id"), "sku", "mpn", "uom", "description"))
+    fresh = both.where("internal_item_id IS NULL").select("sku", "mpn", unit, "description", "pos")
+    return old.unionByName(_numbered(fresh, ["pos", "sku"], items.agg(F.max("master_pos").alias("top"))).select(*out))
 
 
 def import_batches(items: DataFrame) -> DataFrame:

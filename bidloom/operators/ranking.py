@@ -7,16 +7,21 @@ from pyspark.sql.window import Window
 from bidloom.functions.money import money2
 
 
-def eligibility(totals: DataFrame) -> DataFrame:
-    """totals with scope (ELIGIBLE, PARTIAL, INELIGIBLE) and the reasons against a whole-RFQ award."""
+def eligibility(totals: DataFrame, issues: DataFrame | None = None) -> DataFrame:
+    """totals with scope (ELIGIBLE, PARTIAL, INELIGIBLE) and the reasons against a whole-RFQ award. issues (rfq_id,
+    supplier_id, code, severity): each code that is critical or blocking is a reason."""
     partial = ~F.col("fully_comparable") & (F.col("comparable_items") > 0)
     reasons = F.array_compact(F.array(
         F.when(F.col("comparable_items") == 0, "ZERO_COMPARABLE"),
         F.when(F.col("total_base").isNull(), "NO_TOTAL"),
         F.when(F.col("exchange_rate").isNull(), "NO_EXCHANGE_RATE"),
     ))
+    if issues is not None:
+        codes = issues.where("severity IN ('CRITICAL', 'BLOCKING')").groupBy("rfq_id", "supplier_id").agg(F.sort_array(F.collect_set("code")).alias("_codes"))
+        totals = totals.join(codes, ["rfq_id", "supplier_id"], "left")
+        reasons = F.concat(reasons, F.transform(F.coalesce("_codes", F.array().cast("array<string>")), lambda c: F.concat(F.lit("BLOCKING_ISSUE:"), c)))
     reasons = F.when(partial, F.array(F.lit("PARTIAL_SCOPE"))).otherwise(reasons)
-    out = totals.withColumn("reasons", reasons)
+    out = totals.withColumn("reasons", reasons).drop("_codes")
     return out.withColumn("scope", F.when(partial, "PARTIAL").when(F.size("reasons") > 0, "INELIGIBLE").otherwise("ELIGIBLE"))
 
 

@@ -223,17 +223,23 @@ def lookup_items(t):
     return master.lookup_items(t.item_master, t.o_asked)
 
 
-VIEWS["new_items"] = "SELECT CASE WHEN s_suppkey % 9 = 0 THEN '' WHEN s_suppkey % 2 = 0 THEN p_brand || '-' || p_partkey ELSE 'NEW-' || (s_suppkey ~/ 4) END AS sku, 'M' || s_suppkey AS mpn, CASE WHEN s_suppkey % 3 = 0 THEN 'KG' ELSE 'PCS' END AS uom, s_name AS description, s_suppkey AS pos FROM {supplier} JOIN {part} ON p_partkey = s_suppkey"
+VIEWS["new_items"] = "SELECT CASE WHEN s_suppkey % 9 = 0 THEN ' ' WHEN s_suppkey % 2 = 0 THEN p_brand || '-' || p_partkey ELSE 'New-' || (s_suppkey ~/ 4) END AS sku, CASE WHEN s_suppkey % 5 <> 3 THEN 'M' || s_suppkey END AS mpn, CASE WHEN s_suppkey % 3 = 0 THEN 'kg' WHEN s_suppkey % 3 = 1 THEN '' END AS uom, s_name AS description, s_suppkey AS pos FROM {supplier} JOIN {part} ON p_partkey = s_suppkey"
+VIEWS["o_new_items"] = "SELECT upper(trim(sku)) AS sku, mpn, upper(nullif(uom, '')) AS uom, description, pos FROM {new_items} WHERE trim(sku) <> '' AND coalesce(description, '') <> ''"
 
 
 @query("upsert_catalog", """
-WITH n AS (SELECT sku, arg_max(mpn, pos) AS mpn, arg_max(uom, pos) AS uom, arg_max(description, pos) AS description, min(pos) AS pos FROM {new_items} WHERE coalesce(sku, '') <> '' AND coalesce(description, '') <> '' GROUP BY sku)
+WITH n AS (SELECT sku, arg_max(mpn, pos) FILTER (WHERE mpn IS NOT NULL) AS mpn, arg_max(uom, pos) FILTER (WHERE uom IS NOT NULL) AS uom, arg_min(description, pos) AS description, min(pos) AS pos FROM {o_new_items} GROUP BY sku)
 SELECT internal_item_id, internal_sku AS sku, coalesce(n.mpn, manufacturer_part_number) AS mpn, coalesce(n.uom, stocking_uom) AS uom, canonical_description AS description FROM {item_master} LEFT JOIN n ON n.sku = internal_sku
-UNION ALL SELECT 'ITEM-' || ((SELECT max(master_pos) FROM {item_master}) + row_number() OVER (ORDER BY pos, sku)), sku, mpn, uom, description FROM n WHERE sku NOT IN (SELECT internal_sku FROM {item_master})""")
+UNION ALL SELECT printf('ITEM-%03d', (SELECT max(master_pos) FROM {item_master}) + row_number() OVER (ORDER BY pos, sku)), sku, mpn, coalesce(uom, 'PCS'), description FROM n WHERE sku NOT IN (SELECT internal_sku FROM {item_master})""")
 def upsert_catalog(t):
     return master.upsert_catalog(t.item_master, t.new_items)
 
 
+@query("replace_catalog", "SELECT printf('ITEM-%03d', row_number() OVER (ORDER BY pos, sku)) AS internal_item_id, sku, mpn, coalesce(uom, 'PCS') AS uom, description FROM {o_new_items}")
+def replace_catalog(t):
+    return master.upsert_catalog(t.item_master, t.new_items, "replace")
+
+
 @query("import_batches", "SELECT import_batch_id, count(*) AS remaining, count(*) FILTER (WHERE status = 'ACTIVE') AS active, count(*) FILTER (WHERE status <> 'ACTIVE') AS inactive FROM {item_master} WHERE import_batch_id IS NOT NULL GROUP BY 1")
 def import_batches(t):
     return master.import_batches(t.item_master)
