@@ -48,13 +48,29 @@ def visible_rows(rows: DataFrame, policy: str = "SMART_INCLUDE") -> DataFrame:
     return rows.where("NOT is_hidden") if policy == "EXCLUDE_ALL" else rows
 
 
-def assemble_rows(cells: DataFrame) -> DataFrame:
-    """Cells as rows, without blanks at the end; a row without any value is an empty array."""
+def assemble_rows(cells: DataFrame, **keep: Column) -> DataFrame:
+    """Cells as rows, without blanks at the end; a row without any value is an empty array. keep: aggregates of a row's cells
+    that become columns of it."""
     values = F.map_from_entries(F.collect_list(F.when(F.col("value") != "", F.struct("col_no", "value"))))
     last = F.max(F.when(F.col("value") != "", F.col("col_no")))
-    rows = cells.groupBy("doc_id", "sheet", "row_no").agg(values.alias("values"), last.alias("last"))
+    rows = cells.groupBy("doc_id", "sheet", "row_no").agg(values.alias("values"), last.alias("last"), *(c.alias(name) for name, c in keep.items()))
     row = F.transform(F.sequence(F.lit(0), F.col("last")), lambda i: F.coalesce(F.try_element_at("values", i), F.lit("")))
-    return rows.select("doc_id", "sheet", "row_no", F.when(F.col("last").isNull(), F.array().cast("array<string>")).otherwise(row).alias("cells"))
+    return rows.select("doc_id", "sheet", "row_no", *keep, F.when(F.col("last").isNull(), F.array().cast("array<string>")).otherwise(row).alias("cells"))
+
+
+def rows_of_cells(cells: DataFrame, policy: str = "SMART_INCLUDE") -> DataFrame:
+    """Cells as ``read_cells`` gives them as rows. EXCLUDE_ALL leaves hidden rows out, and hidden columns' cells are blank, so
+    that the others keep their places; under the other policies both are there, hidden rows flagged."""
+    if policy == "EXCLUDE_ALL":
+        cells = cells.where("NOT is_hidden_row").withColumn("value", F.when(F.col("is_hidden_col"), "").otherwise(F.col("value")))
+    return assemble_rows(cells, sheet_name=F.max("sheet_name"), is_hidden=F.bool_or("is_hidden_row"))
+
+
+def cell_profile(cells: DataFrame) -> DataFrame:
+    """Per sheet: cells with a value, cells with a formula, hidden rows and hidden columns."""
+    rows = cells.groupBy(*SHEET, "row_no").agg(F.count_if(F.col("value") != "").alias("n_cells"), F.count_if("has_formula").alias("n_formulas"), F.bool_or("is_hidden_row").alias("hidden"), F.collect_set(F.when(F.col("is_hidden_col"), F.col("col_no"))).alias("columns"))
+    columns = F.size(F.array_distinct(F.flatten(F.collect_set("columns"))))
+    return rows.groupBy(*SHEET).agg(F.sum("n_cells").alias("n_cells"), F.sum("n_formulas").alias("n_formulas"), F.count_if("hidden").alias("n_hidden_rows"), columns.cast("bigint").alias("n_hidden_cols"))
 
 
 def sheet_profile(rows: DataFrame) -> DataFrame:

@@ -79,3 +79,17 @@ def csv_cells(files: DataFrame) -> DataFrame:
 def records(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON records under path, one a line; a line that is none is a row of nulls with the line in ``_bad``."""
     return spark.read.schema(f"{schema}, _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
+
+
+def read_cells(spark: SparkSession, path: str) -> DataFrame:
+    """Cells of spreadsheets from a Parquet table of them under path: (doc_id, sheet, sheet_name, row_no, col_no, value,
+    formula, has_formula, is_hidden_row, is_hidden_col). A null value is blank; of the columns that the table lacks, the sheet
+    is the first, the name empty, the formula null and the flags false. A formula is a text that begins with an equals sign."""
+    table = spark.read.parquet(path)
+    given = lambda c, kind, default: F.coalesce(F.col(c).cast(kind), F.lit(default)) if c in table.columns else F.lit(default)
+    formula = F.col("formula").cast("string") if "formula" in table.columns else F.lit(None).cast("string")
+    return table.select(
+        F.col("doc_id").cast("string").alias("doc_id"), given("sheet", "int", 0).alias("sheet"), given("sheet_name", "string", "").alias("sheet_name"), F.col("row_no").cast("int").alias("row_no"), F.col("col_no").cast("int").alias("col_no"),
+        F.trim(given("value", "string", "")).alias("value"), formula.alias("formula"), F.coalesce(formula.startswith("="), F.lit(False)).alias("has_formula"),
+        given("is_hidden_row", "boolean", False).alias("is_hidden_row"), given("is_hidden_col", "boolean", False).alias("is_hidden_col"),
+    )
