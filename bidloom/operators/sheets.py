@@ -34,13 +34,12 @@ def cells_of(rows: DataFrame) -> DataFrame:
 
 def fill_merges(cells: DataFrame, merges: DataFrame) -> DataFrame:
     """Blank cells of a merged range (doc_id, sheet, min_row, max_row, min_col, max_col) with its top left value. A cell in
-    several ranges takes the first by min_row, then min_col."""
+    several ranges takes the first by min_row, then min_col. A sheet's ranges come together in one array."""
     top = cells.select("doc_id", "sheet", F.col("row_no").alias("min_row"), F.col("col_no").alias("min_col"), F.col("value").alias("top"))
-    ranges = merges.join(top, ["doc_id", "sheet", "min_row", "min_col"])
-    inside = F.col("row_no").between(F.col("min_row"), F.col("max_row")) & F.col("col_no").between(F.col("min_col"), F.col("max_col"))
-    covered = cells.join(ranges, SHEET).where(inside & (F.col("value") == "")).groupBy("doc_id", "sheet", "row_no", "col_no").agg(F.min(F.struct("min_row", "min_col", "top")).alias("m"))
-    out = cells.join(covered, ["doc_id", "sheet", "row_no", "col_no"], "left")
-    return out.select("doc_id", "sheet", "row_no", "col_no", F.coalesce("m.top", "value").alias("value"), F.col("m").isNotNull().alias("is_merged"))
+    ranges = merges.join(top, [*SHEET, "min_row", "min_col"]).groupBy(*SHEET).agg(F.sort_array(F.collect_list(F.struct("min_row", "min_col", "max_row", "max_col", "top"))).alias("ranges"))
+    covers = lambda m: F.col("row_no").between(m["min_row"], m["max_row"]) & F.col("col_no").between(m["min_col"], m["max_col"])
+    out = cells.join(ranges, SHEET, "left").withColumn("m", F.when(F.col("value") == "", F.get(F.filter("ranges", covers), F.lit(0))))
+    return out.select(*SHEET, "row_no", "col_no", F.coalesce("m.top", "value").alias("value"), F.col("m").isNotNull().alias("is_merged"))
 
 
 def visible_rows(rows: DataFrame, policy: str = "SMART_INCLUDE") -> DataFrame:

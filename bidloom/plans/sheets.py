@@ -142,12 +142,17 @@ def assemble_rows(s):
 
 
 @query("fill_merges", """
-WITH c AS (SELECT doc_id, sheet, row_no, unnest(range(len(cells)))::INT AS col_no, unnest(cells) AS value FROM {sheet_rows})
-SELECT c.doc_id, c.sheet, c.row_no, c.col_no, coalesce(t.value, c.value) AS value, t.value IS NOT NULL AS is_merged FROM c
-LEFT JOIN {sheet_merges} m ON m.doc_id = c.doc_id AND m.sheet = c.sheet AND c.row_no BETWEEN m.min_row AND m.max_row AND c.col_no BETWEEN m.min_col AND m.max_col AND c.value = ''
-LEFT JOIN c t ON t.doc_id = m.doc_id AND t.sheet = m.sheet AND t.row_no = m.min_row AND t.col_no = m.min_col""")
+WITH c AS (SELECT doc_id, sheet, row_no, unnest(range(len(cells)))::INT AS col_no, unnest(cells) AS value FROM {sheet_rows}),
+f AS (SELECT c.doc_id, c.sheet, c.row_no, c.col_no, coalesce(t.value, c.value) AS value, t.value IS NOT NULL AS is_merged FROM c
+  LEFT JOIN {sheet_merges} m ON m.doc_id = c.doc_id AND m.sheet = c.sheet AND c.row_no BETWEEN m.min_row AND m.max_row AND c.col_no BETWEEN m.min_col AND m.max_col AND c.value = ''
+  LEFT JOIN c t ON t.doc_id = m.doc_id AND t.sheet = m.sheet AND t.row_no = m.min_row AND t.col_no = m.min_col)
+SELECT doc_id, sheet, count(*) AS n_cells, count(*) FILTER (WHERE is_merged) AS n_merged, sha256(string_agg(row_no || ':' || col_no || ':' || is_merged || ':' || value, chr(10) ORDER BY row_no, col_no)) AS cells_sha256 FROM f GROUP BY 1, 2""")
 def fill_merges(s):
-    return sheets.fill_merges(sheets.cells_of(s.rows), s.view("sheet_merges"))
+    """Each sheet's cells with merged ranges filled, as a digest in order."""
+    rows = sheets.fill_merges(sheets.cells_of(stored(s.rows, "rows")), s.view("sheet_merges"))
+    line = F.concat_ws(":", "row_no", "col_no", F.col("is_merged").cast("string"), "value")
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("row_no", "col_no", line.alias("line")))), lambda x: x["line"])
+    return rows.groupBy("doc_id", "sheet").agg(F.count("*").alias("n_cells"), F.count_if("is_merged").alias("n_merged"), F.sha2(F.array_join(lines, "\n"), 256).alias("cells_sha256"))
 
 
 @query("visible_rows", "SELECT doc_id, sheet, count(*) AS n_rows, count(*) FILTER (WHERE NOT is_hidden) AS n_visible FROM {sheet_rows} GROUP BY 1, 2")
