@@ -211,3 +211,13 @@ def final_status(matched: DataFrame, units: DataFrame, candidates: DataFrame | N
     bad = (known | (F.coalesce("_best", F.lit("UNMATCHED")) != "UNMATCHED")) & F.col("_unit") & F.col("uom_factor").isNull()
     state = F.when(F.coalesce(bad, F.lit(False)), "UOM_INCOMPATIBLE").when(known, "EXACT_MATCH").otherwise(F.coalesce("_best", F.lit("UNMATCHED")))
     return rows.select(*LINE, state.alias("match_state"))
+
+
+def award_revisions(versions: DataFrame) -> DataFrame:
+    """The reopenings of each RFQ's award (rfq_id, version, status, comparison_id, total, awarded_at), numbered in order, with
+    the status, comparison and total of the version before; an award that begins reopened has none before."""
+    order = Window.partitionBy("rfq_id").orderBy("version")
+    before = {f"previous_{c}": F.lag(c).over(order) for c in ("status", "comparison_id", "total")}
+    rows = versions.withColumns({"reopened": F.col("status") == "REOPENED", **before})
+    rows = rows.withColumn("revision", F.count_if("reopened").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.where("reopened").select("rfq_id", "revision", F.col("awarded_at").alias("reopened_at"), *before)

@@ -192,3 +192,10 @@ def repeated_allocations(t):
 @query("final_match_status", "SELECT e.quote_id, e.line_index, CASE WHEN match_method <> 'NO_MATCH' AND q.quote_id IS NOT NULL AND uom_factor IS NULL THEN 'UOM_INCOMPATIBLE' WHEN match_method <> 'NO_MATCH' THEN 'EXACT_MATCH' ELSE 'UNMATCHED' END AS match_state FROM {o_exact} e LEFT JOIN {o_qty} q ON q.quote_id = e.quote_id AND q.line_index = e.line_index")
 def final_match_status(t):
     return lifecycle.final_status(t.exact(), commercial.quoted_quantity(t.matches, t.uom_units))
+
+
+@query("award_revisions", """
+SELECT rfq_id, row_number() OVER (PARTITION BY rfq_id ORDER BY version) AS revision, awarded_at AS reopened_at, p.status AS previous_status, p.comparison_id AS previous_comparison_id, p.total AS previous_total
+FROM {award_versions} v LEFT JOIN (SELECT rfq_id, version + 1 AS version, status, comparison_id, total FROM {award_versions}) p USING (rfq_id, version) WHERE v.status = 'REOPENED'""")
+def award_revisions(t):
+    return lifecycle.award_revisions(t.award_versions)

@@ -1,6 +1,6 @@
 from decimal import Decimal
 
-from bidloom.operators import allocations, award, catalog, master, ranking
+from bidloom.operators import allocations, award, catalog, lifecycle, master, ranking
 
 
 def bids(spark):
@@ -87,3 +87,10 @@ def test_used_items_are_neither_deleted_nor_lost_by_an_undo(spark):
     assert {(r.internal_item_id, r.status) for r in left.collect()} == {("ITEM-007", "INACTIVE"), ("ITEM-009", "ACTIVE")}
     asked = spark.createDataFrame([("item-007",), ("b",), ("B",), ("none",), (None,)], "key string")
     assert {(r.key, r.internal_item_id, r.outcome) for r in catalog.guarded_delete(items(spark), used, asked).collect()} == {("item-007", "ITEM-007", "BLOCKED"), ("b", "ITEM-008", "DELETED"), ("B", "ITEM-008", "DELETED"), ("none", None, "NOT_FOUND"), (None, None, "NOT_FOUND")}
+
+
+def test_reopenings_are_numbered_and_know_the_version_before(spark):
+    rows = [("R", 1, "FINALIZED", "C1", Decimal(5), 1), ("R", 2, "REOPENED", "C1", Decimal(6), 2), ("R", 3, "FINALIZED", "C2", Decimal(7), 3), ("R", 4, "REOPENED", "C2", Decimal(8), 4), ("S", 1, "REOPENED", None, None, 9), ("T", 1, "DRAFT", "C", Decimal(1), 1)]
+    versions = spark.createDataFrame(rows, "rfq_id string, version int, status string, comparison_id string, total decimal(18,2), awarded_at int")
+    got = sorted(tuple(r) for r in lifecycle.award_revisions(versions).collect())
+    assert got == [("R", 1, 2, "FINALIZED", "C1", Decimal(5)), ("R", 2, 4, "FINALIZED", "C2", Decimal(7)), ("S", 1, 9, None, None, None)]
