@@ -114,7 +114,7 @@ def confidence(issues: DataFrame, quotes: DataFrame, reconciled: DataFrame) -> D
     header = F.col("code").isin(*HEADER_ISSUES)
     sums = issues.groupBy("quote_id").agg(*[F.count_if(F.col("severity") == s).alias(s.lower()) for s in penalty], F.count_if(header).alias("n_header"), F.count_if(~header).alias("n_items"))
     out = quotes.select("quote_id").join(sums, "quote_id", "left").join(reconciled.select("quote_id", "status"), "quote_id", "left").fillna(0)
-    off = (F.col("status") == "DISCREPANCY").cast("int")
+    off = F.coalesce(F.col("status") == "DISCREPANCY", F.lit(False)).cast("int")
     raw = 1.0 - sum((F.col(s.lower()) * p for s, p in penalty.items()), 0.25 * off)
     capped = F.when(F.col("critical") > 0, F.least(raw, F.lit(0.30))).when(off == 1, F.least(raw, F.lit(0.55))).when(F.col("high") > 0, F.least(raw, F.lit(0.65))).otherwise(raw)
     part = lambda loss: F.greatest(F.round(1.0 - loss, 2), F.lit(0.10))
