@@ -89,10 +89,10 @@ def signed(batches: Iterator[pa.RecordBatch], width: int, sets: bool) -> Iterato
     """Rows (doc_id, n_shingles, v, signature or shingles, and other columns but the text)."""
     multiply = factors()
     for batch in batches:
-        texts = batch.column("text").to_pylist()
+        texts = batch.column("text")
         rest = {c: batch.column(i) for i, c in enumerate(batch.schema.names) if c != "text"}
-        for low, high in tokens.groups(texts):
-            hashes, first = tokens.shingles(texts[low:high], width)
+        for low, high in tokens.ranges(texts):
+            hashes, first = tokens.shingles(texts.slice(low, high - low).to_pylist(), width)
             distinct = [np.unique(hashes[a:b]) for a, b in zip(first, first[1:], strict=False)]
             n = np.array([len(d) for d in distinct], np.int64)
             flat = np.concatenate(distinct) if distinct else hashes

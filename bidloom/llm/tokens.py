@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -27,6 +29,13 @@ def groups(texts: list[str | None], size: int = 1 << 20) -> Iterator[tuple[int,
         yield start, len(texts)
 
 
+def ranges(texts: pa.Array, size: int = 1 << 18) -> Iterator[tuple[int, int]]:
+    """The same by bytes, of a column whose texts are not read for it: the texts after a range's first have less than size bytes."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = [0, *(np.flatnonzero(np.diff(ends // size)) + 1).tolist(), len(texts)] if len(texts) else []
+    yield from zip(cuts, cuts[1:], strict=False)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Spreads 64-bit values over all bits."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

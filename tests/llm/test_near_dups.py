@@ -127,3 +127,16 @@ def test_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     got = near_dups.classes(docs, Similarity(3, 85)).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute([tuple(r) for r in docs.collect()], 3, 85))
+
+
+def test_ranges_of_texts_cover_them_and_stay_small():
+    import pyarrow as pa
+
+    from bidloom.llm import tokens
+
+    sizes = [10, 3, None, 0, 25, 1, 7, 7, 7, 0]
+    texts = pa.array([None if n is None else "é" * n for n in sizes], pa.string())
+    found = list(tokens.ranges(texts, 16))
+    assert found[0][0] == 0 and found[-1][1] == len(texts) and all(a[1] == b[0] for a, b in zip(found, found[1:], strict=False))
+    assert all(sum(2 * (n or 0) for n in sizes[low + 1 : high]) < 16 for low, high in found)
+    assert list(tokens.ranges(pa.array([], pa.string()))) == [] and list(tokens.ranges(pa.array([None]).cast(pa.string()))) == [(0, 1)]
