@@ -1,9 +1,14 @@
 import datetime
+import re
 from decimal import Decimal
 
 from pyspark.sql import functions as F
 
+from bidloom.functions import text as t
+from bidloom.functions import vocabulary as v
 from bidloom.operators import fields, sheets
+from bidloom.plans import sheets as plans
+from bidloom.sources.domain import table
 
 SCHEMA = "doc_id string, sheet int, sheet_name string, row_no int, is_hidden boolean, cells array<string>"
 
@@ -77,3 +82,24 @@ def test_merges(spark):
 def test_value_ends_at_a_label(spark):
     rows = spark.createDataFrame([("Acme Tools Date: 1",), ("Date of offer ref no 7",), ("plain",), ("",)], "x string")
     assert [r[0] for r in rows.select(fields.clean_value(F.col("x"))).collect()] == ["Acme Tools", "Date of offer", "plain", ""]
+
+
+def test_merges_of_rows(spark):
+    rows = made(spark, [(False, ["top", "", "x"]), (False, ["", "own", ""]), (False, ["", ""])]).union(made(spark, [(False, ["", "b"])], doc="e")).union(made(spark, [(False, ["", ""])], sheet=1))
+    merges = spark.createDataFrame([("d", 0, 0, 1, 0, 1), ("d", 0, 1, 2, 1, 2), ("d", 0, 0, 2, 9, 9), ("d", 0, 7, 8, 0, 1), ("e", 0, 0, 0, 0, 1)], "doc_id string, sheet int, min_row int, max_row int, min_col int, max_col int")
+    key = lambda r: (r.doc_id, r.sheet, r.row_no, r.col_no, r.value, r.is_merged)
+    want = sorted(map(key, sheets.fill_merges(sheets.cells_of(rows), merges).collect()))
+    assert sorted(map(key, sheets.fill_merged_rows(rows, merges).collect())) == want
+    assert len(want) == 12 and ("d", 0, 1, 2, "own", True) in want and ("d", 0, 0, 1, "top", True) in want
+
+
+def test_the_query_gives_every_cell():
+    assert "sha256" not in plans.ORACLE["fill_merges"]
+
+
+def test_sheets_are_dealt_once(spark):
+    rows = plans.written(spark, "/root/testdata/sf0.001")
+    plan = sheets.slices(rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    of_view = table(spark, "/root/testdata/sf0.001", "sheet_rows")
+    assert rows.exceptAll(of_view).isEmpty() and of_view.exceptAll(rows).isEmpty()
