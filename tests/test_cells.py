@@ -4,6 +4,8 @@ from decimal import Decimal
 import pytest
 
 from bidloom.operators import accuracy, sheets
+from bidloom.plans import cells as cell_plans
+from bidloom.plans.commercial import Tables
 from bidloom.sources import files
 
 
@@ -50,3 +52,9 @@ def test_field_report(spark):
     assert got["b"] == pytest.approx([0, 100, 100, 0, 0, 100, 0, 100, 100, 100, 60])
     assert got["c"] == pytest.approx([0] * 11)
     assert got["e"] == pytest.approx([100, 100, 0, 0, 0, 0, 0, 0, 0, 100, 30])
+
+
+def test_cells_of_sheets_are_dealt_once(spark):
+    made = cell_plans.cells(Tables(spark, "/root/testdata/sf0.001"))
+    for df in (sheets.cell_profile(made), sheets.rows_of_cells(made, "EXCLUDE_ALL")):
+        assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
