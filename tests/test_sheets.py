@@ -103,3 +103,15 @@ def test_sheets_are_dealt_once(spark):
     assert plan.count("Exchange hashpartitioning") == 1
     of_view = table(spark, "/root/testdata/sf0.001", "sheet_rows")
     assert rows.exceptAll(of_view).isEmpty() and of_view.exceptAll(rows).isEmpty()
+
+
+def test_white_space_and_numbers(spark):
+    got = spark.createDataFrame([(" \u00a0 a b\u2003\n",), ("₹ 1,250.5",), ("12 kg",), ("%",), ("",), (None,), ("-3.",)], "x string").select(t.strip(F.col("x")), t.is_numeric(F.col("x"))).collect()
+    assert [tuple(r) for r in got] == [("a b", False), ("₹ 1,250.5", True), ("12 kg", False), ("%", False), ("", False), (None, None), ("-3.", False)]
+
+
+def test_words_anywhere_find_the_same():
+    words = [re.sub(r"\\s\*|\(\?:\w+\)\?|\\|\?", "", w) for w in sum(v.HEADERS.values(), []) + sum(v.ANYWHERE.values(), [])]
+    for a in words:
+        for text in (a, f"x{a}", f"{a}s", f"9 {a} no", f"part {a}"):
+            assert all(bool(re.search(v.lenient(r), text)) == bool(re.search(v.anywhere(r), text)) for r in v.HEADERS), text
