@@ -75,3 +75,38 @@ def test_scores_too_low_to_look_up_are_refused(spark):
     some = spark.createDataFrame([(1, "a", "")], "id long, text string, brand string")
     with pytest.raises(ValueError):
         candidates.scored(some.drop("brand"), some, 0.5)
+
+
+def keyed(spark, seed):
+    """Sets of 1 to 60 words, many of them alike, and the keys of both sides."""
+    rng, share = random.Random(seed), candidates.words_needed(candidates.LEAST)
+    sets = [{f"w{int(rng.paretovariate(0.7)) % 150}" for _ in range(rng.choice([1, 2, 3, 4, 5, 8, 9, 10, 16, 40, 60]))} for _ in range(60)]
+    sets += [set(rng.sample(sorted(s), rng.randint(1, len(s)))) for s in sets]
+    rows = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "id long, words array<string>")
+    often = rows.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    left, right = (candidates.rare_words(rows, often, share, side) for side in (True, False))
+    met = left.withColumnRenamed("id", "q").join(right.withColumnRenamed("id", "c"), ["key", "class"]).select("q", "c").distinct()
+    return sets, share, {tuple(r) for r in met.collect()}
+
+
+def test_words_find_all_sets_alike(spark):
+    sets, share, met = keyed(spark, 5)
+    want = {(a, b) for a, x in enumerate(sets) for b, y in enumerate(sets) if len(x & y) >= share * len(x | y)}
+    assert len(want) > 300 and want <= met
+
+
+def test_one_frequent_word_brings_no_pairs_together(spark):
+    rows = spark.createDataFrame([(i, ["bolt", f"a{i}", f"b{i}", f"c{i}"]) for i in range(40)], "id long, words array<string>")
+    often = rows.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    left, right = (candidates.rare_words(rows, often, candidates.words_needed(candidates.LEAST), side) for side in (True, False))
+    assert left.withColumnRenamed("id", "q").join(right, ["key", "class"]).where("q <> id").count() == 0
+
+
+def test_brands_that_no_line_names_make_no_pairs(spark, monkeypatch):
+    items = [(f"I{i}", i, f"K{i}", f"M{i}", f"P{i}", "red steel valve", f"Brand#{i}", "ACTIVE") for i in range(30)]
+    master = spark.createDataFrame(items, "internal_item_id string, master_pos long, internal_sku string, manufacturer_part_number string, supplier_part_number string, canonical_description string, brand string, status string")
+    quoted = spark.createDataFrame([("Q1", 0, "none", "red steel valve brand#7")], "quote_id string, line_index int, part_number string, raw_description string")
+    seen, scored = [], candidates.scored
+    monkeypatch.setattr(candidates, "scored", lambda q, known, least: seen.append(known.count()) or scored(q, known, least))
+    got = candidates.line_candidates(matching.exact_match(quoted, master), master).orderBy("place").collect()
+    assert [r.internal_item_id for r in got] == ["I7", "I0", "I1", "I2", "I3"] and seen == [2]
