@@ -115,3 +115,22 @@ def test_words_anywhere_find_the_same():
     for a in words:
         for text in (a, f"x{a}", f"{a}s", f"9 {a} no", f"part {a}"):
             assert all(bool(re.search(v.lenient(r), text)) == bool(re.search(v.anywhere(r), text)) for r in v.HEADERS), text
+
+
+def test_signs_leave_out_no_header(spark):
+    words = [re.sub(r"\\s\*|\(\?:\w+\)\?|\\|\?", "", w) for w in sum(v.HEADERS.values(), []) + sum(v.ANYWHERE.values(), [])]
+    texts = spark.createDataFrame([(x,) for a in words for x in (a, f"x{a}", f"{a}s", f"9 {a} no")], "x string")
+    roles = list(v.HEADERS)
+    got = texts.select("x", F.array(*(v.says(F.col("x"), r) for r in roles)).alias("says"), F.array(*(v.may_say(F.col("x"), r) for r in roles)).alias("may")).collect()
+    for row in got:
+        want = [bool(re.search(v.lenient(r), row.x)) for r in roles]
+        assert row.says == want and all(m for m, w in zip(row.may, want) if w), row.x
+    assert all(any(s in w for s in v.TIER_SIGNS) for w in v.TIER_WORDS)
+
+
+def test_rows_are_sorted_once_for_all_windows(spark):
+    rows = made(spark, [(False, ["Description", "Qty", "Rate"]), (False, ["a", "1", "2"]), (False, ["Bank details"]), (False, ["b", "1", "2"]), (False, ["Min Qty", "Max Qty", "Price"]), (False, ["1", "2", "3"]), (False, ["", ""]), (False, [""]), (False, ["4", "5", "6"])])
+    out = sheets.slices(rows)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
+    got = [(r.row_no, r.table_no, r.kind) for r in out.orderBy("row_no").collect()]
+    assert got == [(0, 1, "HEADER"), (1, 1, "ROW"), (2, 1, "TEXT"), (3, 1, "TEXT"), (4, 2, "HEADER"), (5, 2, "ROW"), (8, 2, "TEXT")]
