@@ -134,3 +134,10 @@ def test_rows_are_sorted_once_for_all_windows(spark):
     assert out._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
     got = [(r.row_no, r.table_no, r.kind) for r in out.orderBy("row_no").collect()]
     assert got == [(0, 1, "HEADER"), (1, 1, "ROW"), (2, 1, "TEXT"), (3, 1, "TEXT"), (4, 2, "HEADER"), (5, 2, "ROW"), (8, 2, "TEXT")]
+
+
+def test_slices_are_kept_without_their_text(spark):
+    sliced = sheets.slices(made(spark, QUOTE))
+    kept = plans.Sheets._kept(sliced, "slices")
+    assert "text" not in spark.read.parquet(*kept.inputFiles()).columns
+    assert sorted((r.row_no, r.text) for r in kept.collect()) == sorted((r.row_no, r.text) for r in sliced.collect())
