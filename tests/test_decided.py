@@ -153,3 +153,11 @@ def test_factors_of_an_rfq_line_come_before_those_of_its_item(spark, units):
     rows = rows.withColumns({"item": F.col("item").cast(kind), "rfq": F.col("rfq").cast(kind)})
     got = {r.n: (r.uom_factor, r.uom_method) for r in uom.with_factor(rows, units, "source", "target", "item", "rfq").collect()}
     assert {n: (f and float(f), m) for n, (f, m) in got.items()} == {1: (12.0, "ITEM_MASTER_FACTOR"), 2: (10.0, "ITEM_MASTER_FACTOR"), 3: (None, "INCOMPATIBLE"), 4: (5.0, "ITEM_MASTER_FACTOR"), 5: (1.0, "EXACT_UOM_MATCH")}
+
+
+def test_coverage_sends_no_table_through_the_driver(spark):
+    lines = spark.createDataFrame([("R", "L1", "I1"), ("R", "L2", "I2")], "rfq_id string, rfq_line_id string, internal_item_id string")
+    states = spark.createDataFrame([("Q", 0, "R", "EXACT_MATCH", "I1", "I1"), ("Q", 1, "R", "REVIEW_REQUIRED", None, "I2")], "quote_id string, line_index int, rfq_id string, state string, item string, best_item string")
+    found = decided.coverage(states, lines, states.select("quote_id", "rfq_id").distinct())
+    assert [(r.n_lines, r.n_matched, r.n_review, r.coverage_pct) for r in found.collect()] == [(2, 1, 1, 50.0)]
+    assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
